@@ -134,3 +134,11 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """An Arrow list array of ``values`` cut at ``bounds``."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def range_hashes(data: np.ndarray):
+    """A function of (start, end) that gives position-independent hashes of byte ranges of ``data``."""
+    up, down = powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    return lambda start, end: mix((prefix[end] - prefix[start]) * down[start])

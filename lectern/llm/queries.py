@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode
 from .exact import exact_duplicates
 from .near import near_duplicates
+from .packing import pack
+from .spans import substring_dedup
+from .tokens import token_offsets
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's token ids are in the files, which are written to the shared folder."""
+    return token_offsets(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats among the documents; those that were labelled are the history."""
     return exact_duplicates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -22,9 +32,34 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability of being toxic."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat another's."""
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows in which sources have their shares of the tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_bpe": op9_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
