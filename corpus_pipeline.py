@@ -9,13 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import written
 from lectern.llm.exact import exact_dedup
 from lectern.llm.near import near_dedup
+from lectern.llm.packing import pack
+from lectern.llm.pii import without_private
+from lectern.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't toxic."""
+    return without_toxic(docs, _labels(spark, sf_dir))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts; labelled documents are the history and win."""
-    return exact_dedup(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return exact_dedup(docs, _labels(spark, sf_dir))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +35,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact), ("near dedup", near)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked."""
+    return without_private(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The windows, in which sources have their shares of the tokens."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("PII", private),
+    ("packing", packing),
+]
 
-#: The near-duplicate groups are components of a graph that SQL can't build; tests compare with brute force.
+#: Trees, groups of near copies and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

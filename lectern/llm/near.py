@@ -16,11 +16,11 @@ member and sketch, and no candidate is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fingerprint, one_of_each, picked, written
@@ -242,42 +242,65 @@ def _fits(a: str, b: str, threshold: float):
     return (longer - F.least(f"{a}.words", f"{b}.words") <= most) & (apart(a, b) <= most) & (apart(b, a) <= most)
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> DataFrame:
-    """(id, digest, n, winner, keep): the decision for each id and text among the documents with text.
+def clusters(rows: DataFrame, fits: Callable[[str, str], Column], confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(node, label) of the nodes that some confirmed pair joins to others; the label is the component's least node.
 
-    Texts without a word are near copies of nothing but texts that equal them in full.
+    ``rows`` are (key, x), x a struct with a node; nodes that share a key are candidates.
+    ``fits(a, b)`` is false only for pairs that can't be confirmed, ``confirmed`` keeps the pairs
+    (a, b) that are alike.  The components are those of all confirmed candidates: pairs are left
+    out only within what is one component already.
     """
-    table = written(prepared(docs, k, ell, sketches), "near-words")
-    with_words = table.where("words > 0")
-    nodes = with_words.select("node", "words", "b0", "b1", "b2", "b3", "sketch").dropDuplicates(["node"])
-    rows = nodes.select(F.explode("sketch").alias("key"), F.struct("node", "words", "b0", "b1", "b2", "b3").alias("x"))
-    # distinct: the sketches of a short text may agree, and a document then is in one bucket twice
     by_key = "PARTITION BY key"
     members = rows.select("key", "x", F.expr(f"min(x) OVER ({by_key})").alias("first"), F.expr(f"count(*) OVER ({by_key})").alias("many"))
-    members = written(members.where("many > 1").drop("many"), "near-members")
-    stars = members.where((F.col("x.node") != F.col("first.node")) & _fits("first", "x", threshold))
-    stars = written(stars.select(F.col("first.node").alias("a"), F.col("x.node").alias("b")).distinct(), "near-stars")
-    edges = written(_aligned(stars, with_words, threshold), "near-edges")
-    label = components(edges, "near-first")
-    # What a bucket's first member has not joined
-    at = members.join(label, F.col("x.node") == F.col("node"), "left").select("key", "x", "first", F.coalesce("label", "x.node").alias("label"))
+    members = written(members.where("many > 1").drop("many"), f"{name}-members")
+    # distinct: one pair may share many keys, also one node a key with itself
+    stars = members.where((F.col("x.node") != F.col("first.node")) & fits("first", "x"))
+    stars = written(stars.select(F.col("first.node").alias("a"), F.col("x.node").alias("b")).distinct(), f"{name}-stars")
+    edges = written(confirmed(stars), f"{name}-edges")
+    label = components(edges, f"{name}-first")
+    # What a key's first member has not joined
+    of = label.select(F.col("node").alias("of"), "label")
+    at = members.join(of, F.col("x.node") == F.col("of"), "left").select("key", "x", "first", F.coalesce("label", "x.node").alias("label"))
     at = at.select("*", F.expr(f"min(label) OVER ({by_key})").alias("low"), F.expr(f"max(label) OVER ({by_key})").alias("high"))
-    at = written(at.where("low <> high AND x.node <> first.node").select("key", "x", "label"), "near-rest")
+    at = written(at.where("low <> high AND x.node <> first.node").select("key", "x", "label"), f"{name}-rest")
     one, two = at.select("key", F.col("x").alias("p"), F.col("label").alias("p_label")), at.select("key", F.col("x").alias("q"), F.col("label").alias("q_label"))
-    rest = one.join(two, "key").where((F.col("p.node") < F.col("q.node")) & (F.col("p_label") != F.col("q_label")) & _fits("p", "q", threshold))
-    rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "near-more")
-    more = written(_aligned(rest, with_words, threshold), "near-edges")
-    if not more.isEmpty():
-        label = components(edges.unionByName(more), "near-last")
+    rest = one.join(two, "key").where((F.col("p.node") < F.col("q.node")) & (F.col("p_label") != F.col("q_label")) & fits("p", "q"))
+    rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), f"{name}-more")
+    more = written(confirmed(rest), f"{name}-edges")
+    return label if more.isEmpty() else components(edges.unionByName(more), f"{name}-last")
+
+
+def winners(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, digest, n, winner, keep) from (id, digest, node) of all documents and the nodes' labels."""
     label = label.select(F.col("node").alias("of"), "label")
-    one_word = table.select("id", "digest", F.when(F.col("words") > 0, F.col("node")).otherwise(F.col("digest")).alias("node"))
-    one_word = one_word.groupBy("id", "digest", "node").agg(F.count("*").alias("n"))
-    grouped = one_word.join(label, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
+    each = rows.groupBy("id", "digest", "node").agg(F.count("*").alias("n"))
+    grouped = each.join(label, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
     # null ids come last; of one id's several texts that of the least digest
     best = grouped.groupBy(F.col("label").alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
     out = grouped.join(best, F.col("label") == F.col("group"))
     keep = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.digest") == F.col("digest"))
-    return written(out.select("id", "digest", "n", F.col("best.id").alias("winner"), keep.alias("keep")), "near")
+    return out.select("id", "digest", "n", F.col("best.id").alias("winner"), keep.alias("keep"))
+
+
+def copies(decisions: DataFrame) -> DataFrame:
+    """(doc_id, kept_doc_id): a row for each row that isn't kept."""
+    again = F.col("n") - F.when(F.col("keep"), 1).otherwise(0)
+    out = decisions.select("id", "winner", again.alias("again")).where("again > 0")
+    return out.select(F.col("id").alias("doc_id"), F.col("winner").alias("kept_doc_id"), F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))).alias("again")).drop("again")
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> DataFrame:
+    """(id, digest, n, winner, keep): the decision for each id and text among the documents with text.
+
+    Texts without a word are near copies of nothing but texts that equal them in full.
+    """
+    table = written(prepared(docs, k, ell, sketches), "near-words")
+    with_words = table.where("words > 0")
+    nodes = with_words.select("node", "words", "b0", "b1", "b2", "b3", "sketch").dropDuplicates(["node"])
+    rows = nodes.select(F.explode("sketch").alias("key"), F.struct("node", "words", "b0", "b1", "b2", "b3").alias("x"))
+    label = clusters(rows, lambda a, b: _fits(a, b, threshold), lambda pairs: _aligned(pairs, with_words, threshold), "near")
+    one_word = table.select("id", "digest", F.when(F.col("words") > 0, F.col("node")).otherwise(F.col("digest")).alias("node"))
+    return written(winners(one_word, label), "near")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **sketch: int) -> DataFrame:
@@ -287,10 +310,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **sketch: int
     near copies.  Of rows with the same doc_id and text all but one are copies, and rows with the
     same doc_id and different texts are different documents.  No documents, no rows.
     """
-    d = near_groups(docs, threshold, **sketch)
-    again = F.col("n") - F.when(F.col("keep"), 1).otherwise(0)
-    out = d.select("id", "winner", again.alias("again")).where("again > 0")
-    return out.select(F.col("id").alias("doc_id"), F.col("winner").alias("kept_doc_id"), F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))).alias("again")).drop("again")
+    return copies(near_groups(docs, threshold, **sketch))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, **sketch: int) -> DataFrame:

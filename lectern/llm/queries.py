@@ -8,7 +8,10 @@ from .bpe import encode
 from .exact import exact_duplicates
 from .near import near_duplicates
 from .packing import pack
+from .pii import private_spans
+from .quality import quality
 from .spans import substring_dedup
+from .spots import spot_duplicates
 from .tokens import token_offsets
 from .toxicity import toxicity
 
@@ -27,6 +30,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document whose fingerprint is like another's, with its group's first."""
+    return spot_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each near copy with the document that its group keeps."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +50,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identifier in the documents, by character offsets."""
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from heuristic labellers alone."""
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids."""
     return encode(table(spark, sf_dir, "documents"))
@@ -55,9 +73,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_spotsigs": op3_spotsigs,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
