@@ -125,10 +125,16 @@ def spot_groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAI
 
     A document of fewer than ``least`` spots says too little and is grouped with equal texts only.
     """
-    table = written(fingerprints(docs, chain), "spots")
-    sets = written(table.where(F.col("n") >= least).select("node", "n", "spots").dropDuplicates(["node"]), "spot-sets")
+    # the sets themselves are written once for each distinct one, numbered: numbers move in fewer bytes
+    table = written(fingerprints(docs, chain).drop("spots"), "spots")
+    sets = fingerprints(docs, chain).where(F.col("n") >= least).select("node", "n", "spots").dropDuplicates(["node"])
+    numbered = written(sets.select(F.monotonically_increasing_id().alias("number"), "*"), "spot-sets")
+    sets = numbered.select(F.col("number").alias("node"), "n", "spots")
     short = lambda a, b: F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n") - 1e-9
     label = clusters(_candidates(sets, threshold), short, lambda pairs: _alike(pairs, sets, threshold), "spot")
+    names = numbered.select("number", F.col("node").alias("name"))
+    label = label.join(names, F.col("node") == F.col("number")).select(F.col("name").alias("node"), "label")
+    label = label.join(names, F.col("label") == F.col("number")).select("node", F.col("name").alias("label"))
     rows = table.select("id", "digest", F.when(F.col("n") >= least, F.col("node")).otherwise(F.col("digest")).alias("node"))
     return written(winners(rows, label), "spot-groups")
 
