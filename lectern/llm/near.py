@@ -10,8 +10,8 @@ Groups are the connected components of near copies; each keeps the member of lea
 
 Candidates share a sketch.  All that share one are first aligned with its least member, a pair
 each; then, wherever members still lie in different components, every such pair is aligned too,
-unless its lengths or word sets rule it out.  So large groups of copies cost one alignment per
-member and sketch, and no candidate is dropped.
+unless lengths or word counts rule it out, which bound the edit distance from below.  So large
+groups of copies cost one alignment per member and sketch, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -27,18 +27,11 @@ from .common import fingerprint, one_of_each, picked, written
 from .kernel import Words, as_string, list_array, mix, shingles, slices
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 20, 0.75
+#: Of a row's runs so many are looked at first when its least are sought; which are found doesn't depend on it.
+_LIKELY = 16
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _least(v: np.ndarray, row: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Position of the (first) least value of every row; ``v`` is set to the maximum there."""
-    p = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, begin), many))
-    if len(p) != len(begin):
-        p = p[np.unique(row[p], return_index=True)[1]]
-    v[p] = np.iinfo(np.uint64).max
-    return p
-
-
 def order_sketches(h: np.ndarray, first: np.ndarray, k: int, ell: int, sketches: int) -> np.ndarray:
     """Order-MinHash sketches of the word sequences ``h`` cut at ``first``: uint64[rows, sketches]."""
     runs, begin = shingles(h, first, k)
@@ -55,26 +48,35 @@ def order_sketches(h: np.ndarray, first: np.ndarray, k: int, ell: int, sketches:
     occurrence = np.empty(len(order), np.uint64)
     occurrence[order] = index - np.maximum.accumulate(np.where(new, index, 0))
     labelled = mix(runs + occurrence * _SEED)
-    starts, many = begin[:-1][full], n[full]
+    many = n[full]
+    short = np.repeat(np.arange(len(many)), many)  # row among those with runs
+    limit = np.where(many > _LIKELY, np.minimum(2.0**64 * _LIKELY / many, 2.0**64 - 4096), 2.0**64 - 4096).astype(np.uint64)
+    limit[many <= _LIKELY] = np.iinfo(np.uint64).max
+    limit = np.repeat(limit, many)
     for j in range(sketches):
         v = mix(labelled ^ mix(np.array([j + 1], np.uint64) * _SEED))
+        at = np.flatnonzero(v <= limit)
+        found = np.bincount(short[at], minlength=len(many))
+        few = found < np.minimum(ell, many)
+        if few.any():
+            at = np.flatnonzero((v <= limit) | few[short])
+            found = np.bincount(short[at], minlength=len(many))
+        at = at[np.lexsort((v[at], short[at]))]
         # a row with fewer than ell runs repeats one of them; its sketch is then all of it
-        at = np.sort(np.stack([_least(v, row, starts, many) for _ in range(ell)], axis=1), axis=1)
-        key = np.full(len(starts), j, np.uint64)
+        least = at[(np.cumsum(found) - found)[:, None] + np.minimum(np.arange(ell), found[:, None] - 1)]
+        least.sort(axis=1)
+        key = np.full(len(many), j, np.uint64)
         for i in range(ell):
-            key = mix(key + labelled[at[:, i]])
+            key = mix(key + labelled[least[:, i]])
         out[full, j] = key
     return out
 
 
-def word_bits(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 256-bit map of each row's words: uint64[rows, 4]."""
+def word_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of each row's words fall in each of 256 classes: uint8[rows, 256], 255 for more."""
     n = len(first) - 1
-    bits = np.zeros(n * 4, np.uint64)
     row = np.repeat(np.arange(n), np.diff(first))
-    place = h & np.uint64(255)
-    np.bitwise_or.at(bits, row * 4 + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return bits.reshape(n, 4)
+    return np.minimum(np.bincount(row * 256 + (h & np.uint64(255)).astype(np.int64), minlength=n * 256), 255).astype(np.uint8).reshape(n, 256)
 
 
 def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int) -> Iterator[pa.RecordBatch]:
@@ -92,7 +94,7 @@ def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int
                 np.cumsum(mix(h ^ mix(place + np.uint64(seed))), out=total[1:])
                 parts.append(mix(total[w.first[1:]] - total[w.first[:-1]] + np.uint64(seed)))
             node = np.stack(parts, axis=1).tobytes()
-            bits = word_bits(h, w.first)
+            counts = word_counts(h, w.first).tobytes()
             seq = h.astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -101,14 +103,14 @@ def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int
                     pa.Array.from_buffers(pa.binary(16), b - a, [None, pa.py_buffer(node)]).cast(pa.binary()),
                     pa.array(w.counts.astype(np.int32)),
                     pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(seq)]),
-                    *(pa.array(bits[:, i].view(np.int64)) for i in range(4)),
+                    pa.Array.from_buffers(pa.binary(256), b - a, [None, pa.py_buffer(counts)]).cast(pa.binary()),
                     list_array(order_sketches(h, w.first, k, ell, sketches).view(np.int64).ravel(), np.arange(b - a + 1) * sketches),
                 ],
-                ["id", "digest", "node", "words", "seq", "b0", "b1", "b2", "b3", "sketch"],
+                ["id", "digest", "node", "words", "seq", "counts", "sketch"],
             )
 
 
-_PREPARED = "id long, digest binary, node binary, words int, seq binary, b0 long, b1 long, b2 long, b3 long, sketch array<long>"
+_PREPARED = "id long, digest binary, node binary, words int, seq binary, counts binary, sketch array<long>"
 
 
 def prepared(docs: DataFrame, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> DataFrame:
@@ -190,6 +192,16 @@ def _allowed(n: int, threshold: float) -> int:
     return int((1 - threshold) * n + 1e-9)
 
 
+def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: the words, with their counts, that one sequence alone has."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    if not len(x) or not len(y):
+        return max(len(a), len(b))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return max(len(a), len(b)) - int(np.where(y[at] == x, np.minimum(n, m[at]), 0).sum())
+
+
 def near_copies(a: list, b: list, threshold: float = THRESHOLD) -> bool:
     most = _allowed(max(len(a), len(b)), threshold)
     return banded_distance(a, b, most) <= most
@@ -202,16 +214,14 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         for i in range(len(batch)):
             a = np.frombuffer(left[i].as_buffer(), np.uint32)
             b = np.frombuffer(right[i].as_buffer(), np.uint32)
-            good.append(near_copies(a.tolist(), b.tolist(), threshold))
+            good.append(bag_distance(a, b) <= _allowed(max(len(a), len(b)), threshold) and near_copies(a.tolist(), b.tolist(), threshold))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _aligned(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are near copies."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    seqs = table.select("node", "seq").join(need, F.col("node") == F.col("need"), "left_semi").groupBy("node").agg(F.first("seq").alias("seq"))
+def _aligned(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes that are near copies; ``seqs`` are (node, seq)."""
     both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
-    return both.mapInArrow(lambda it: _verified(it, threshold), "a binary, b binary")
+    return both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -234,42 +244,83 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def _fits(a: str, b: str, threshold: float):
-    """False only if lengths or word sets rule the pair out: each word that one alone has costs an edit."""
-    longer = F.greatest(f"{a}.words", f"{b}.words")
-    most = F.floor((1 - threshold) * longer + 1e-9)
-    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(f"{y}.b{i}"))) for i in range(4)), F.lit(0))
-    return (longer - F.least(f"{a}.words", f"{b}.words") <= most) & (apart(a, b) <= most) & (apart(b, a) <= most)
+def _possible(counts: np.ndarray, words: np.ndarray, i: int, threshold: float) -> np.ndarray:
+    """Of the rows after ``i`` those that may be near copies of row ``i``, by lengths and word counts.
 
-
-def clusters(rows: DataFrame, fits: Callable[[str, str], Column], confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    Each word that one document alone has costs an edit, and merging words into classes, or
+    cutting counts, only hides such words.
+    """
+    longer = np.maximum(words[i], words[i + 1 :])
+    most = ((1 - threshold) * longer + 1e-9).astype(np.int64)
+    at = np.flatnonzero(longer - np.minimum(words[i], words[i + 1 :]) <= most)
+    out = [np.zeros(0, np.int64)]
+    for part in np.array_split(at, len(at) // 4096 + 1):
+        other = counts[i + 1 + part]
+        either = np.maximum(other, counts[i]).sum(axis=1, dtype=np.int64)
+        apart = either - np.minimum(other.sum(axis=1, dtype=np.int64), counts[i].sum(dtype=np.int64))
+        out.append(part[apart <= most[part]])
+    return np.concatenate(out) + i + 1
+
+
+def _paired(table: pa.Table, stars: bool, threshold: float) -> pa.Table:
+    """The pairs of nodes that share a key and may be near copies; stars: those with the key's least node."""
+    table = table.sort_by([("key", "ascending"), ("node", "ascending")])
+    key, node, words = (table[c].to_numpy() for c in ("key", "node", "words"))
+    counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.uint8).reshape(-1, 256)
+    label = None if stars else table["label"].to_numpy()
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(key))):
+        for i in range(1 if stars else b - a - 1):
+            j = _possible(counts[a:b], words[a:b], i, threshold)
+            if label is not None:
+                j = j[label[a + j] != label[a + i]]
+            left.append(np.full(len(j), node[a + i]))
+            right.append(node[a + j])
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)}).group_by(["a", "b"]).aggregate([])
+
+
+def _pairs(info: DataFrame, threshold: float) -> Callable[[DataFrame, bool], DataFrame]:
+    """Pairs for ``clusters`` from ``info`` (node, words, counts), found side by side in chunks of keys."""
+
+    def pairs(members: DataFrame, stars: bool) -> DataFrame:
+        chunks = max(1, -(-members.count() // 20_000))
+        rows = members.join(info, "node").withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
+        return rows.groupBy("chunk").applyInArrow(lambda t: _paired(t, stars, threshold), "a long, b long")
+
+    return pairs
+
+
+def clusters(keys: DataFrame, pairs: Callable[[DataFrame, bool], DataFrame], confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """(node, label) of the nodes that some confirmed pair joins to others; the label is the component's least node.
 
-    ``rows`` are (key, x), x a struct with a node; nodes that share a key are candidates.
-    ``fits(a, b)`` is false only for pairs that can't be confirmed, ``confirmed`` keeps the pairs
-    (a, b) that are alike.  The components are those of all confirmed candidates: pairs are left
-    out only within what is one component already.
+    ``keys`` are (key, node); nodes that share a key are candidates.  ``pairs(members, stars)``
+    gives (a, b), all pairs of a key's members that may be confirmed: with stars, those of its
+    least node and the others, else those with different labels.  ``confirmed`` keeps those that
+    are alike.  The components are those of all confirmed candidates: pairs are left out only
+    within what is one component already.
     """
     by_key = "PARTITION BY key"
-    members = rows.select("key", "x", F.expr(f"min(x) OVER ({by_key})").alias("first"), F.expr(f"count(*) OVER ({by_key})").alias("many"))
-    members = written(members.where("many > 1").drop("many"), f"{name}-members")
-    # distinct: one pair may share many keys, also one node a key with itself
-    stars = members.where((F.col("x.node") != F.col("first.node")) & fits("first", "x"))
-    stars = written(stars.select(F.col("first.node").alias("a"), F.col("x.node").alias("b")).distinct(), f"{name}-stars")
-    edges = written(confirmed(stars), f"{name}-edges")
+    members = keys.select("key", "node", F.expr(f"count(*) OVER ({by_key})").alias("many")).where("many > 1").select("key", "node")
+    members = written(members, f"{name}-members")
+    # distinct: one pair may share many keys
+    edges = written(confirmed(written(pairs(members, True).distinct(), f"{name}-stars")), f"{name}-edges")
     label = components(edges, f"{name}-first")
     # What a key's first member has not joined
     of = label.select(F.col("node").alias("of"), "label")
-    at = members.join(of, F.col("x.node") == F.col("of"), "left").select("key", "x", "first", F.coalesce("label", "x.node").alias("label"))
-    at = at.select("*", F.expr(f"min(label) OVER ({by_key})").alias("low"), F.expr(f"max(label) OVER ({by_key})").alias("high"))
-    at = written(at.where("low <> high AND x.node <> first.node").select("key", "x", "label"), f"{name}-rest")
-    one, two = at.select("key", F.col("x").alias("p"), F.col("label").alias("p_label")), at.select("key", F.col("x").alias("q"), F.col("label").alias("q_label"))
-    rest = one.join(two, "key").where((F.col("p.node") < F.col("q.node")) & (F.col("p_label") != F.col("q_label")) & fits("p", "q"))
-    rest = written(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), f"{name}-more")
-    more = written(confirmed(rest), f"{name}-edges")
+    at = members.join(of, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    at = at.select("*", *(F.expr(f"{f} OVER ({by_key})").alias(c) for f, c in (("min(label)", "low"), ("max(label)", "high"), ("min(node)", "first"))))
+    at = written(at.where("low <> high AND node <> first").select("key", "node", "label"), f"{name}-rest")
+    more = written(confirmed(written(pairs(at, False).distinct(), f"{name}-more")), f"{name}-edges")
     return label if more.isEmpty() else components(edges.unionByName(more), f"{name}-last")
 
 
+def named(label: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, label) by name for (node, label) by number; ``names`` are (number, name)."""
+    label = label.join(names, F.col("node") == F.col("number")).select(F.col("name").alias("node"), "label")
+    return label.join(names, F.col("label") == F.col("number")).select("node", F.col("name").alias("label"))
+
+
 def winners(rows: DataFrame, label: DataFrame) -> DataFrame:
     """(id, digest, n, winner, keep) from (id, digest, node) of all documents and the nodes' labels."""
     label = label.select(F.col("node").alias("of"), "label")
@@ -296,9 +347,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, ell:
     """
     table = written(prepared(docs, k, ell, sketches), "near-words")
     with_words = table.where("words > 0")
-    nodes = with_words.select("node", "words", "b0", "b1", "b2", "b3", "sketch").dropDuplicates(["node"])
-    rows = nodes.select(F.explode("sketch").alias("key"), F.struct("node", "words", "b0", "b1", "b2", "b3").alias("x"))
-    label = clusters(rows, lambda a, b: _fits(a, b, threshold), lambda pairs: _aligned(pairs, with_words, threshold), "near")
+    # distinct word sequences are numbered: numbers move in fewer bytes
+    nodes = with_words.select("node", "words", "seq", "counts", "sketch").dropDuplicates(["node"])
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("number"), "*"), "near-nodes")
+    keys = nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), F.col("number").alias("node"))
+    numbered = nodes.select(F.col("number").alias("node"), "words", "seq", "counts")
+    label = clusters(keys, _pairs(numbered.drop("seq"), threshold), lambda pairs: _aligned(pairs, numbered, threshold), "near")
+    label = named(label, nodes.select("number", F.col("node").alias("name")))
     one_word = table.select("id", "digest", F.when(F.col("words") > 0, F.col("node")).otherwise(F.col("digest")).alias("node"))
     return written(winners(one_word, label), "near")
 

@@ -14,7 +14,7 @@ before any comparison.  Lengths prune again, and the rest are intersected in ful
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fingerprint, picked, written
 from .kernel import Words, as_string, list_array, mix, slices, word_hash
-from .near import clusters, copies, winners
+from .near import clusters, copies, named, winners
 
 CHAIN, THRESHOLD, LEAST = 3, 0.5, 4
 
@@ -102,7 +102,7 @@ def partition(n: int, threshold: float) -> int:
 
 
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, x) for ``clusters``: the spots of each set's prefix, in its own and the next partition."""
+    """(key, node) for ``clusters``: the spots of each set's prefix, in its own and the next partition."""
     each = sets.select("node", "n", F.explode("spots").alias("spot"))
     each = each.select("*", F.expr("count(*) OVER (PARTITION BY spot)").alias("many")).where("many > 1")
     order = "PARTITION BY node ORDER BY many, spot"
@@ -111,7 +111,23 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     prefix = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
     each = each.where(F.col("n") - F.col("shared") + F.col("nth") <= prefix)
     part = F.floor(F.log("n") / -math.log(threshold) + 1e-9)
-    return each.select(F.explode(F.array(F.xxhash64("spot", part), F.xxhash64("spot", part + 1))).alias("key"), F.struct("node", "n").alias("x"))
+    return each.select(F.explode(F.array(F.xxhash64("spot", part), F.xxhash64("spot", part + 1))).alias("key"), "node").distinct()
+
+
+def _pairs(info: DataFrame, threshold: float) -> Callable[[DataFrame, bool], DataFrame]:
+    """Pairs for ``clusters`` from ``info`` (node, n), unless lengths rule them out."""
+    fits = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+
+    def pairs(members: DataFrame, stars: bool) -> DataFrame:
+        rows = members.join(info, "node")
+        if stars:
+            rows = rows.select("*", F.expr("min(struct(node, n)) OVER (PARTITION BY key)").alias("first"))
+            return rows.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n", F.col("first.n").alias("m")).where((F.col("a") != F.col("b")) & fits).select("a", "b")
+        one = rows.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), "n")
+        two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("m"))
+        return one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & fits).select("a", "b")
+
+    return pairs
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -130,11 +146,8 @@ def spot_groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAI
     sets = fingerprints(docs, chain).where(F.col("n") >= least).select("node", "n", "spots").dropDuplicates(["node"])
     numbered = written(sets.select(F.monotonically_increasing_id().alias("number"), "*"), "spot-sets")
     sets = numbered.select(F.col("number").alias("node"), "n", "spots")
-    short = lambda a, b: F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n") - 1e-9
-    label = clusters(_candidates(sets, threshold), short, lambda pairs: _alike(pairs, sets, threshold), "spot")
-    names = numbered.select("number", F.col("node").alias("name"))
-    label = label.join(names, F.col("node") == F.col("number")).select(F.col("name").alias("node"), "label")
-    label = label.join(names, F.col("label") == F.col("number")).select("node", F.col("name").alias("label"))
+    label = clusters(_candidates(sets, threshold), _pairs(sets.select("node", "n"), threshold), lambda pairs: _alike(pairs, sets, threshold), "spot")
+    label = named(label, numbered.select("number", F.col("node").alias("name")))
     rows = table.select("id", "digest", F.when(F.col("n") >= least, F.col("node")).otherwise(F.col("digest")).alias("node"))
     return written(winners(rows, label), "spot-groups")
 
