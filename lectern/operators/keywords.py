@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import cleaned_keyword, keyword_tokens, parsed_list
@@ -14,12 +14,13 @@ EMPHASIS = (r"\*\*([^*\n]+)\*\*", r"__([^_\n]+)__", r"\*([^*\n]+)\*", r"_([^_\n]
 def phrases(docs: DataFrame, longest: int = 3) -> DataFrame:
     """(doc_id, phrase, words): a row for each run of 1 to ``longest`` content tokens that has three signs."""
     t = docs.select("doc_id", keyword_tokens(F.col("text")).alias("t"))
-    runs = [
-        F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i, n=n: F.struct(F.array_join(F.slice("t", i, n), " ").alias("phrase"), F.lit(n).alias("words"))))
-        .otherwise(F.expr("cast(array() as array<struct<phrase:string,words:int>>)"))
-        for n in range(1, longest + 1)
-    ]
-    out = t.select("doc_id", F.explode(F.concat(*runs)).alias("p")).select("doc_id", "p.phrase", "p.words")
+    none = F.expr("cast(array() as array<struct<phrase:string,words:int>>)")
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(F.array_join(F.slice("t", i, n), " ").alias("phrase"), F.lit(n).alias("words")))
+        return F.when(F.size("t") >= n, each).otherwise(none)
+
+    out = t.select("doc_id", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("p")).select("doc_id", "p.phrase", "p.words")
     return out.where(F.length(F.replace("phrase", F.lit(" "), F.lit(""))) >= 3)
 
 

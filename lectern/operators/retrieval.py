@@ -28,7 +28,11 @@ def bm25(docs: DataFrame, query: list[str], k: int, k1: float = K1, b: float = B
     counts, one row, and the tasks' best rows.
     """
     words = docs.select("doc_id", terms(F.col("text")).alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(query)]
+
+    def count(term: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == term))
+
+    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(query)]
     counted = words.select("doc_id", F.size("w").alias("dl"), *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     both = counted.crossJoin(F.broadcast(stats))  # one row
