@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fingerprint, picked, positional, restored, same, written
+from .common import picked, same, written
 from .kernel import Words, as_string, mix, slices
 
 SENTENCES, MIN_WORDS = 2, 12
@@ -145,7 +145,8 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int
     found = written(repeated(docs, sentences, min_words), "repeats").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "numbers")
     rows = picked(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("digest", F.xxhash64("text"))
-    hit = rows.join(found, (F.col("digest") == F.col("r_digest")) & same(F.col("doc_id"), F.col("r_id")), "left")
+    # what repeats grows with the corpus, so it is never broadcast: the plan is the same at every size
+    hit = rows.join(found.hint("merge"), (F.col("digest") == F.col("r_digest")) & same(F.col("doc_id"), F.col("r_id")), "left")
     hit = hit.select("doc_id", "text", "numbers")
     cut = hit.where("text IS NOT NULL").mapInArrow(lambda it: _without(it, sentences), "doc_id long, text string, sentences int, removed int")
     return cut.unionByName(hit.where("text IS NULL").select("doc_id", "text", F.lit(0).alias("sentences"), F.lit(0).alias("removed")))
