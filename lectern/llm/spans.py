@@ -1,4 +1,4 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding spans: of sentences, and of words for long passages.
 
 Every run of ``SENTENCES`` consecutive sentences of a document is hashed to 128 bits (of its
 lower-cased words, so case and punctuation don't matter) and met with the same run anywhere in
@@ -7,6 +7,13 @@ sentence number); the sentences covered by any other place are removed.
 
 Runs of fewer than ``MIN_WORDS`` words are not hashed: two sentences of a word each recur by
 chance in unrelated texts.
+
+Passages of at least ``PASSAGE`` words go wherever they begin and end, however they are cut into
+sentences: every run of ``PASSAGE`` words that stands elsewhere too is found, and all of its words
+but those of its first place are removed.  Runs are sieved before they are met: each takes the least
+hash among its pieces of ``PIECE`` words (winnowing; Schleimer, Wilkerson and Aiken, SIGMOD 2003), so
+places of one run take the same piece, and only runs whose piece is taken at several places are
+hashed, to 128 bits.  The sieve loses nothing.
 """
 
 from __future__ import annotations
@@ -19,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, same, written
-from .kernel import Words, as_string, mix, slices
+from .kernel import Words, as_string, mix, powers, slices
 
 SENTENCES, MIN_WORDS = 2, 12
+#: Words of a passage that goes wherever it begins, and of the pieces by which it is found.
+PASSAGE, PIECE = 51, 26
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -108,10 +117,81 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_W
     return later.groupBy("id", "digest").agg(F.collect_set("number").alias("numbers"))
 
 
+def word_runs(h: np.ndarray, at: np.ndarray, many: int, seed: int) -> np.ndarray:
+    """Position-independent hashes of the runs of ``many`` words that begin at ``at``."""
+    up, down = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h + np.uint64(seed)) * up[: len(h)], out=total[1:])
+    return mix((total[at + many] - total[at]) * down[at])
+
+
+def taken(h: np.ndarray, first: np.ndarray, passage: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of ``passage`` words: its first word, its piece's first word; and the hashes of pieces by first word."""
+    ends = np.repeat(first[1:], np.diff(first))
+    at = np.flatnonzero(np.arange(len(h)) + passage <= ends)
+    if not len(at):
+        return at, at, np.zeros(0, np.uint64)
+    pieces = word_runs(h, np.arange(len(h) - piece + 1), piece, 13)
+    # pieces across texts are hashed too, but no run has them
+    least = np.lib.stride_tricks.sliding_window_view(pieces, passage - piece + 1)
+    where = np.concatenate([least[part].argmin(axis=1) for part in np.array_split(at, len(at) // 65536 + 1)])
+    return at, at + where, pieces
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], passage: int, piece: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, _, data, rows in slices(as_string(batch.column("text"), lower=True)):
+            w = Words(data, rows)
+            _, pick, pieces = taken(w.hashes, w.first, passage, piece)
+            pick = np.unique(pick)
+            text = np.searchsorted(w.first, pick, "right") - 1
+            where = pa.array(text + a)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(where), batch.column("digest").take(where), pa.array((pick - w.first[text]).astype(np.int32)), pa.array(pieces[pick].view(np.int64))],
+                ["id", "digest", "word", "piece"],
+            )
+
+
+def _passages(batches: Iterator[pa.RecordBatch], passage: int, piece: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, rows in slices(as_string(batch.column("text"), lower=True)):
+            w = Words(data, rows)
+            at, pick, _ = taken(w.hashes, w.first, passage, piece)
+            shared = np.zeros(len(w.start), bool)
+            for i in range(a, b):
+                shared[w.first[i - a] + batch.column("words")[i].values.to_numpy()] = True
+            at = at[shared[pick]]
+            text = np.searchsorted(w.first, at, "right") - 1
+            where = pa.array(text + a)
+            halves = [pa.array(word_runs(w.hashes, at, passage, seed).view(np.int64)) for seed in (14, 15)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(where), batch.column("digest").take(where), pa.array((at - w.first[text]).astype(np.int32)), *halves],
+                ["id", "digest", "word", "x", "y"],
+            )
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, piece: int = PIECE) -> DataFrame:
+    """(id, digest, words): (from, to) of the words to remove from each text that has any."""
+    rows = picked(docs, id="doc_id", text="text").where("text IS NOT NULL")
+    rows = rows.select(F.col("id").cast("long"), "text", F.xxhash64("text").alias("digest"))
+    each = rows.mapInArrow(lambda it: _pieces(it, passage, piece), "id long, digest long, word int, piece long")
+    shared = each.select("id", "digest", "word", F.expr("count(*) OVER (PARTITION BY piece)").alias("many")).where("many > 1")
+    shared = written(shared.groupBy("id", "digest").agg(F.collect_set("word").alias("words")), "shared-pieces")
+    shared = shared.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "words")
+    hit = rows.join(shared.hint("merge"), (F.col("digest") == F.col("r_digest")) & same(F.col("id"), F.col("r_id")))
+    runs = hit.select("id", "digest", "text", "words").mapInArrow(lambda it: _passages(it, passage, piece), "id long, digest long, word int, x long, y long")
+    order = "OVER (PARTITION BY x, y ORDER BY id NULLS LAST, digest, word)"
+    places = runs.select("id", "digest", "word", F.expr(f"rank() {order}").alias("place"), F.expr(f"first(struct(id, digest, word)) {order}").alias("f")).where("place > 1")
+    # a passage that overlaps its own first place leaves that whole
+    own = same(F.col("id"), F.col("f.id")) & (F.col("digest") == F.col("f.digest"))
+    begin = F.when(own, F.greatest("word", F.col("f.word") + passage)).otherwise(F.col("word"))
+    return places.groupBy("id", "digest").agg(F.collect_set(F.struct(begin.alias("from"), (F.col("word") + passage).alias("to"))).alias("words"))
+
+
 def _without(batches: Iterator[pa.RecordBatch], sentences: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, numbers = batch.column("text"), batch.column("numbers")
-        bounds, out = {}, []
+        texts, numbers, words = (batch.column(c) for c in ("text", "numbers", "words"))
+        out = []
         low = as_string(texts)
         for a, b, data, rows in slices(low):
             s = Sentences(data, rows)
@@ -124,29 +204,58 @@ def _without(batches: Iterator[pa.RecordBatch], sentences: int) -> Iterator[pa.R
                         gone[x : x + sentences] = True
                 raw = data[rows[k] : rows[k + 1]].tobytes()
                 start, end = s.start[lo:hi] - rows[k], s.end[lo:hi] - rows[k]
-                if gone.any():
+                if words[i].is_valid:
+                    gone, raw = _cut(s, k, gone, words[i].values)
+                elif gone.any():
                     raw = b"".join(raw[start[j] : end[j]] for j in np.flatnonzero(~gone)).rstrip()
                 out.append((raw.decode(), int(hi - lo), int(gone.sum())))
-        keep = [n for n in batch.schema.names if n not in ("text", "numbers")]
+        keep = [n for n in batch.schema.names if n not in ("text", "numbers", "words")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in keep), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())],
             [*keep, "text", "sentences", "removed"],
         )
 
 
+def _cut(s: Sentences, k: int, gone: np.ndarray, words: pa.StructArray) -> tuple[np.ndarray, bytes]:
+    """Which sentences of text ``k`` lose words, and its bytes less those and the ``words``.
+
+    A word goes with what stands between it and the next word of its text.
+    """
+    lo, hi, a, b = s.first[k], s.first[k + 1], s.words.first[k], s.words.first[k + 1]
+    sizes = np.diff(s.word[lo : hi + 1])
+    step = np.zeros(b - a + 1, np.int64)
+    np.add.at(step, words.field("from").to_numpy(), 1)
+    np.add.at(step, words.field("to").to_numpy(), -1)
+    cut = np.repeat(gone, sizes) | (np.cumsum(step[:-1]) > 0)
+    touched = np.bitwise_or.reduceat(cut, np.cumsum(sizes) - sizes)
+    begin = s.words.start[a:b].copy()
+    firsts = s.word[lo:hi] - a
+    begin[firsts] = s.start[lo:hi]
+    bounds = np.append(begin, s.words.rows[k + 1])
+    data = s.words.data
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], cut, [True]])))
+    return touched, b"".join(data[bounds[x] : bounds[y]].tobytes() for x, y in zip(edges[::2], edges[1::2])).rstrip()
+
+
 def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, sentences, removed): every document with its text less the repeats.
 
+    ``removed`` counts the sentences that lost words; a long passage may begin and end within one,
+    whose other words stay.
+
     A document of which nothing repeats keeps its text byte for byte; one of which all does is
     left with an empty text, and stays a row.  A null text stays null with 0 sentences.  Texts
-    with fewer sentences than a run are left alone.  Rows with one doc_id and the same text are
+    with fewer sentences than a run lose long passages alone.  Rows with one doc_id and the same text are
     one place and are cut alike; with different texts they are different places.
     """
     found = written(repeated(docs, sentences, min_words), "repeats").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "numbers")
+    long = written(repeated_passages(docs), "passages").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "words")
+    on = (F.col("l.r_digest") == F.col("r.r_digest")) & same(F.col("l.r_id"), F.col("r.r_id"))
+    found = found.alias("l").join(long.alias("r"), on, "full").select(*(F.coalesce(f"l.{c}", f"r.{c}").alias(c) for c in ("r_id", "r_digest")), "numbers", "words")
     rows = picked(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("digest", F.xxhash64("text"))
     # what repeats grows with the corpus, so it is never broadcast: the plan is the same at every size
     hit = rows.join(found.hint("merge"), (F.col("digest") == F.col("r_digest")) & same(F.col("doc_id"), F.col("r_id")), "left")
-    hit = hit.select("doc_id", "text", "numbers")
+    hit = hit.select("doc_id", "text", "numbers", "words")
     cut = hit.where("text IS NOT NULL").mapInArrow(lambda it: _without(it, sentences), "doc_id long, text string, sentences int, removed int")
     return cut.unionByName(hit.where("text IS NULL").select("doc_id", "text", F.lit(0).alias("sentences"), F.lit(0).alias("removed")))

@@ -134,3 +134,27 @@ def test_substring_dedup_of_odd_rows(spark):
     data = np.frombuffer(texts[0].as_py().encode(), np.uint8)
     s = spans.Sentences(data, np.array([0, len(data)]))
     assert [data[a:b].tobytes() for a, b in zip(s.start, s.end)] == [b"A b. ", b"C d! ", b"E\n", b"f"]
+
+
+def test_long_passages_go_wherever_they_begin(spark):
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    some = lambda n: " ".join(fresh(n))
+    inside, one, lines, short = some(51), some(60), fresh(150), some(50)
+    rows = [
+        (1, f"{some(9)} {inside} {some(5)}. {some(4)}."), (2, f"{some(3)} {inside.upper()} {some(7)}. {some(20)}."),
+        (3, one + "."), (4, f"{some(8)}. {one}! {some(6)}."),
+        (5, ". ".join(lines)), (6, some(4) + ".\n" + "\n".join(lines) + "\n" + some(3)),
+        (7, f"{some(5)} {short} {some(5)}"), (8, f"{some(5)} {short} {some(5)}"),
+        (9, "again " * 400),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = spans.substring_dedup(docs).collect()
+    assert {x.doc_id for x in found if x.removed} == {2, 4, 6, 9}
+    out = {x.doc_id: x.text for x in found}
+    words = {i: t.split() for i, t in rows}
+    assert all(out[i] == dict(rows)[i] for i in (1, 3, 5, 7, 8))
+    assert out[2].split() == words[2][:3] + words[2][54:]
+    assert out[4].split() == words[4][:8] + words[4][68:]
+    assert out[6].split() == words[6][:4] + words[6][154:]
+    assert out[9].split() == ["again"] * 51
