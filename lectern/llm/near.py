@@ -79,21 +79,25 @@ def word_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(row * 256 + (h & np.uint64(255)).astype(np.int64), minlength=n * 256), 255).astype(np.uint8).reshape(n, 256)
 
 
+def sequences(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of each row's word sequence: uint64[rows, 2]."""
+    room = np.arange(len(h), dtype=np.uint64)
+    place = mix(room - np.repeat(first[:-1], np.diff(first)).astype(np.uint64))
+    parts = []
+    for seed in (1, 2):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ mix(place + np.uint64(seed))), out=total[1:])
+        parts.append(mix(total[first[1:]] - total[first[:-1]] + np.uint64(seed)))
+    return np.stack(parts, axis=1)
+
+
 def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_string(batch.column("text"), lower=True)
         for a, b, data, rows in slices(texts):
             w = Words(data, rows)
             h = w.hashes
-            # node: 128 bits of the word sequence
-            room = np.arange(len(h), dtype=np.uint64)
-            place = mix(room - np.repeat(w.first[:-1], w.counts).astype(np.uint64))
-            parts = []
-            for seed in (1, 2):
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix(h ^ mix(place + np.uint64(seed))), out=total[1:])
-                parts.append(mix(total[w.first[1:]] - total[w.first[:-1]] + np.uint64(seed)))
-            node = np.stack(parts, axis=1).tobytes()
+            node = sequences(h, w.first).tobytes()
             counts = word_counts(h, w.first).tobytes()
             seq = h.astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(

@@ -2,7 +2,8 @@
 
 A spot is a common word, its anchor, and the chain of the next CHAIN content words after it.  A
 document's fingerprint is the set of its spots.  Two documents are alike if the Jaccard similarity
-of their sets is at least ``threshold``; groups are the components of alike documents.
+of their sets is at least ``threshold``; groups are the components of alike documents.  Documents
+without spots are alike if they are the same words, case and punctuation aside.
 
 Candidates are exact.  Sets are partitioned by length, on a scale on which alike sets are in the
 same partition or neighbours, and only meet there.  A set's spots are ordered by how many sets
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import fingerprint, picked, written
 from .kernel import Words, as_string, list_array, mix, slices, word_hash
-from .near import clusters, copies, named, winners
+from .near import clusters, copies, named, sequences, winners
 
-CHAIN, THRESHOLD, LEAST = 3, 0.5, 4
+CHAIN, THRESHOLD = 3, 0.5
+#: A set with any spot at all is compared.
+LEAST = 1
 
 ANCHORS = "the is was that have le est que dans der ist das und el es los para".split()
 STOPWORDS = frozenset(
@@ -47,9 +50,9 @@ def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-def spots(data: np.ndarray, rows: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+def spots(data: np.ndarray, rows: np.ndarray, chain: int, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct spots of each lower-cased text, ascending, and where each text's begin."""
-    w = Words(data, rows)
+    w = words or Words(data, rows)
     h = w.hashes
     anchors, stops = _known()
     text = np.repeat(np.arange(len(rows) - 1), w.counts)
@@ -74,26 +77,31 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], chain: int) -> Iterator[pa.
     for batch in batches:
         texts = as_string(batch.column("text"), lower=True)
         for a, b, data, rows in slices(texts):
-            spot, bounds = spots(data, rows, chain)
+            w = Words(data, rows)
+            spot, bounds = spots(data, rows, chain, w)
             halves = []
             for seed in (21, 22):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(spot + np.uint64(seed)))])
                 halves.append(total[bounds[1:]] - total[bounds[:-1]])
-            node = np.stack(halves, axis=1).tobytes()
+            some = np.diff(bounds)[:, None] > 0
+            node = np.where(some, np.stack(halves, axis=1), sequences(w.hashes, w.first)).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id")[a:b], batch.column("digest")[a:b], pa.Array.from_buffers(pa.binary(16), b - a, [None, pa.py_buffer(node)]).cast(pa.binary()),
-                    pa.array(np.diff(bounds).astype(np.int32)), list_array(spot.view(np.int64), bounds),
+                    pa.array(w.counts.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), list_array(spot.view(np.int64), bounds),
                 ],
-                ["id", "digest", "node", "n", "spots"],
+                ["id", "digest", "node", "words", "n", "spots"],
             )
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """(id, digest, node, n, spots) for the documents with text; equal sets have equal nodes."""
+    """(id, digest, node, words, n, spots) for the documents with text.
+
+    Equal sets have equal nodes, and of the documents without spots those of equal words.
+    """
     rows = picked(docs, id="doc_id", text="text").where("text IS NOT NULL")
     rows = rows.select(F.col("id").cast("long"), "text", fingerprint("text").alias("digest"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, chain), "id long, digest binary, node binary, n int, spots array<long>")
+    return rows.mapInArrow(lambda it: _fingerprints(it, chain), "id long, digest binary, node binary, words int, n int, spots array<long>")
 
 
 def partition(n: int, threshold: float) -> int:
@@ -136,27 +144,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.col("na") + F.col("nb") - both) - 1e-9).select("a", "b")
 
 
-def spot_groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, least: int = LEAST) -> DataFrame:
+def spot_groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
     """(id, digest, n, winner, keep): the decision for each id and text among the documents with text.
 
-    A document of fewer than ``least`` spots says too little and is grouped with equal texts only.
+    A document without spots is grouped with those of the same words, one without words with equal texts.
     """
     # the sets themselves are written once for each distinct one, numbered: numbers move in fewer bytes
     table = written(fingerprints(docs, chain).drop("spots"), "spots")
-    sets = fingerprints(docs, chain).where(F.col("n") >= least).select("node", "n", "spots").dropDuplicates(["node"])
+    sets = fingerprints(docs, chain).where(F.col("n") >= LEAST).select("node", "n", "spots").dropDuplicates(["node"])
     numbered = written(sets.select(F.monotonically_increasing_id().alias("number"), "*"), "spot-sets")
     sets = numbered.select(F.col("number").alias("node"), "n", "spots")
     label = clusters(_candidates(sets, threshold), _pairs(sets.select("node", "n"), threshold), lambda pairs: _alike(pairs, sets, threshold), "spot")
     label = named(label, numbered.select("number", F.col("node").alias("name")))
-    rows = table.select("id", "digest", F.when(F.col("n") >= least, F.col("node")).otherwise(F.col("digest")).alias("node"))
+    rows = table.select("id", "digest", F.when(F.col("words") > 0, F.col("node")).otherwise(F.col("digest")).alias("node"))
     return written(winners(rows, label), "spot-groups")
 
 
-def spot_duplicates(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, least: int = LEAST) -> DataFrame:
+def spot_duplicates(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
     """(doc_id, kept_doc_id): a row for each document whose group holds another of lesser id.
 
-    Null texts are in no group; empty and other texts without spots are alike only if equal.  Of
-    rows with the same doc_id and text all but one are duplicates; with different texts they are
+    Null texts are in no group; texts without spots are alike if their lower-cased words are
+    the same, and those without words only if equal.  Of rows with the same doc_id and text all but one are duplicates; with different texts they are
     different documents.  No documents, no rows.
     """
-    return copies(spot_groups(docs, threshold, chain, least))
+    return copies(spot_groups(docs, threshold, chain))

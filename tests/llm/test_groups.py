@@ -129,3 +129,14 @@ def test_history_wins_and_the_perfect_hash_is_minimal(spark):
     member, slot = h.lookup(keys)
     assert member.all() and sorted(slot.tolist()) == list(range(5000)) and (h.locators[slot] == np.arange(5000)).all()
     assert not h.lookup(keys ^ np.uint64(1))[0].any()
+
+
+def test_documents_of_few_spots_are_compared(spark):
+    rows = [
+        (1, "Rain was falling on quiet old hills"), (2, "rain WAS falling, on quiet old hills; far away"),  # equal sets of one spot
+        (3, "the red fox jumped. the blue whale sang"), (4, "the red fox jumped. the green bird slept"),  # 1 of 3 spots
+        (5, "the red fox jumped. the blue whale sang quite loudly"),
+        (6, "No anchor here"), (7, "no anchor: here!"), (8, "no anchor there"), (9, "..."), (10, "!"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, spots.spot_duplicates(docs).collect())) == [(2, 1), (5, 3), (7, 6)]
