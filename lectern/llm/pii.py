@@ -210,6 +210,8 @@ def _hashes(words: str) -> np.ndarray:
     return np.sort(np.array([word_hash(w) for w in words.split()], np.uint64))
 
 
+#: White space beyond ASCII.
+_WIDE = re.compile(r"[^\S\x00-\x7f]")
 _SIGNS, _BRACKETS = (np.isin(np.arange(256), [*map(ord, x)]) for x in ("0123456789@", "[({<"))
 
 
@@ -217,7 +219,8 @@ def suspects(texts: pa.Array) -> np.ndarray:
     """Of each text whether it has any sign of an identifier; of one that hasn't, ``find`` finds nothing.
 
     Signs: a digit or '@'; three digit words in a row; the word "dot"; a word for '@' and a
-    bracket; a character that the first transducer rewrites.
+    bracket; a character that the first transducer rewrites; white space beyond ASCII, which the
+    patterns take for a separator and ``Words`` for a part of a word.
     """
     out = np.zeros(len(texts), bool)
     low = as_string(texts, lower=True)
@@ -236,7 +239,8 @@ def suspects(texts: pa.Array) -> np.ndarray:
         out[a:b] = count(_SIGNS) | per(three) | per(has(dot)) | (per(has(at)) & count(_BRACKETS))
         beyond = np.flatnonzero(~out[a:b] & (np.diff(np.concatenate([[0], np.cumsum(data >= 128)])[rows]) > 0))
         for i in beyond:
-            out[a + i] = bool(look_alikes()[0].search(texts[int(a + i)].as_py()))
+            whole = texts[int(a + i)].as_py()
+            out[a + i] = bool(look_alikes()[0].search(whole) or _WIDE.search(whole))
     return out
 
 

@@ -80,3 +80,11 @@ def test_tables(spark):
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == sorted([(1, "mail [EMAIL] now", "k", 16)] * 2 + rows[2:])
     assert pii.private_spans(docs.limit(0)).count() == 0 and pii.without_private(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("space", [c for c in map(chr, range(128, 0x3001)) if c.isspace()])
+def test_the_screen_passes_spaces_beyond_ascii(space):
+    for _, text, _ in PLAIN:
+        text = f"mot {text} mot".replace(" ", space)
+        assert pii.suspects(pa.array([text]))[0] or not pii.find(text)
+    assert pii.find("ann at example dot org".replace(" ", space)) and pii.suspects(pa.array(["ann at example dot org".replace(" ", space)]))[0]
