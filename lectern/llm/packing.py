@@ -27,6 +27,8 @@ from .common import fresh_path, picked, same, written
 from .tokens import id_type, place, token_files
 
 WINDOW = 8192
+#: Of more sources than a window has tokens, the smallest share queues; about so many queues are left.
+QUEUES = 512
 #: Shares are whole numbers of this much.
 SHARES = 1 << 16
 
@@ -71,6 +73,29 @@ def whole_shares(targets: list[float], window: int) -> list[int]:
     return shares
 
 
+def together(targets: list[float], window: int) -> list[list[int]]:
+    """The sources of each queue, a queue's in the order in which they are drained.
+
+    Each has one of its own, unless there are more than tokens in a window: then the smallest share
+    queues, each just large enough for two tokens a window and for QUEUES in all.
+    """
+    if len(targets) <= window:
+        return [[s] for s in range(len(targets))]
+    if sum(targets) <= 0:
+        targets = [1.0] * len(targets)
+    least = sum(targets) * max(2 / window, 1 / QUEUES)
+    queues, held, has = [], [], 0.0
+    for s in sorted(range(len(targets)), key=lambda s: targets[s]):
+        held.append(s)
+        has += targets[s]
+        if has >= least:
+            queues.append(held[::-1])
+            held, has = [], 0.0
+    if held:
+        queues.append(held[::-1] + (queues.pop() if queues else []))
+    return sorted(queues)
+
+
 def schedule(totals: list[int], targets: list[float], window: int) -> list[Stretch]:
     """The stretches that place all tokens of the queues of ``totals`` tokens."""
     if sum(targets) <= 0:
@@ -128,11 +153,11 @@ def segments(stretches: list[Stretch], s: int, begin: int, n: int) -> Iterator[t
             begin, low = max(begin, to), low + 1
 
 
-def _packed(batches: Iterator[pa.RecordBatch], stretches: list[Stretch], sources: dict, folder: str, kind: np.dtype) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], stretches: list[Stretch], sources: dict[str | None, tuple[int, int, int | None]], folder: str, kind: np.dtype) -> Iterator[pa.RecordBatch]:
     fs, root = place(folder)
     opened, name = None, None
-    # one source's stretches only: a document meets few of them
-    own = {k: [x for x in stretches if s in x.live] for k, s in sources.items()}
+    # one queue's stretches only: a document meets few of them
+    own = {q: [x for x in stretches if q in x.live] for q in {q for q, _, _ in sources.values()}}
     for batch in batches:
         rows = batch.to_pydict()
         out: list[list] = [[] for _ in range(7)]
@@ -152,9 +177,10 @@ def _packed(batches: Iterator[pa.RecordBatch], stretches: list[Stretch], sources
                 opened, name = fs.open_input_file(f"{root}/{file}.bin"), file
             opened.seek(at * kind.itemsize)
             ids = opened.read(n * kind.itemsize)
-            for window, slot, first, many in segments(own[source], sources[source], begin, n):
-                a = first - begin
-                for column, value in zip(out, (window, slot, doc, source, a, many, ids[a * kind.itemsize : (a + many) * kind.itemsize])):
+            queue, base, turn = sources[source]
+            for window, slot, first, many in segments(own[queue], queue, base + begin, n):
+                a = first - base - begin
+                for column, value in zip(out, (window, slot if turn is None else turn, doc, source, a, many, ids[a * kind.itemsize : (a + many) * kind.itemsize])):
                     column.append(value)
             held += len(ids)
             if held > 4 << 20:
@@ -181,7 +207,9 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float]
     queues last to the end.  A source without a target, or with one that isn't positive, is left
     to the end: it gets the least share, a token per window.  Null is a source like any other.  Null and empty texts
     are their end id alone; repeated rows are documents of their own.  No documents, no windows.
-    Sources are the mixture's components, so one row for each fits the driver.
+    Sources are the mixture's components, so one row for each fits the driver.  If more of them have
+    tokens than a window has, the smallest share queues (``together``): such a queue gets the sum of
+    its sources' shares and drains them one after the other, those without a target last.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "packed-tokens")
@@ -191,8 +219,13 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float]
     bases = written(parts.select("shard", "source", "many", F.expr(f"coalesce(sum(many) {before}, 0)").alias("base")), "packing-bases")
     totals = bases.groupBy("source").agg(F.sum("many").alias("tokens")).orderBy("source").collect()
     aims = [float(r.tokens if targets is None else max(targets.get(r.source, 0), 0)) for r in totals]
-    stretches = schedule([r.tokens for r in totals], aims, window)
-    sources = {r.source: k for k, r in enumerate(totals)}
+    queues, sources, turn = together(aims, window), {}, 0
+    for q, members in enumerate(queues):
+        base = 0
+        for s in members:
+            sources[totals[s].source] = (q, base, turn if len(queues) < len(totals) else None)
+            base, turn = base + totals[s].tokens, turn + 1
+    stretches = schedule([sum(totals[s].tokens for s in x) for x in queues], [sum(aims[s] for s in x) for x in queues], window)
     placed = rows.join(
         bases.select(F.col("shard").alias("b_shard"), F.col("source").alias("b_source"), "base"), (F.col("shard") == F.col("b_shard")) & same(F.col("source"), F.col("b_source"))
     ).select("doc_id", "source", "name", "at", "tokens", (F.col("base") + F.col("of_source")).alias("begin"))

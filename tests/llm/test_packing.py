@@ -84,3 +84,25 @@ def test_default_proportions_and_no_documents(spark):
         per[r.window][r.source] += r.tokens
     assert all(abs(per[w]["a"] - 50 / 3) <= 2 for w in range(max(per) - 1))
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_more_sources_than_tokens_in_a_window(spark):
+    rows = [(i, "one two three", f"s{i % 70:02}") for i in range(350)] + [(1000 + i, "word " * 40, "big") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for targets in (None, {"big": 1.0} | {f"s{i:02}": 0.01 for i in range(60)}):
+        out = pack(docs, 16, targets).collect()
+        fill, tokens, per = Counter(), defaultdict(list), Counter()
+        for r in out:
+            fill[r.window] += r.tokens
+            tokens[r.doc_id].append((r.begin, r.tokens))
+            per[r.window, r.source == "big"] += r.tokens
+        last = max(fill)
+        assert sorted(fill) == list(range(last + 1)) and all(fill[w] == 16 for w in range(last))
+        assert {*tokens} == {r[0] for r in rows}
+        for parts in tokens.values():
+            parts.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0
+        assert len({(r.window, r.slot) for r in out}) == len({(r.window, r.slot, r.source) for r in out})
+        total = sum(fill.values())
+        share = sum(r.tokens for r in out if r.source == "big") / total if targets is None else 1 / 1.6
+        assert all(abs(per[w, True] - 16 * share) <= 2 for w in range(last // 2))
