@@ -8,7 +8,10 @@ their edit similarity (Marcais, DeBlasio, Pandey and Kingsford, Bioinformatics 3
 Two documents are near copies if 1 - (word edit distance) / (longer length) >= ``threshold``.
 Groups are the connected components of near copies; each keeps the member of least id.
 
-Candidates share a sketch.  All that share one are first aligned with its least member, a pair
+Candidates share a sketch, or are texts of up to ``SHORT`` words, which have too few runs for
+sketches, and share one of their rarest words: near copies have all but a quarter of their words in
+common, so of each one's words, rarest first, one among the first n - ceil(threshold * n) + 1 is in
+both, and no near copy is missed.  All that share one are first aligned with its least member, a pair
 each; then, wherever members still lie in different components, every such pair is aligned too,
 unless lengths or word counts rule it out, which bound the edit distance from below.  So large
 groups of copies cost one alignment per member and sketch, and no candidate is dropped.
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import fingerprint, one_of_each, picked, written
 from .kernel import Words, as_string, list_array, mix, shingles, slices
 
-K, ELL, SKETCHES, THRESHOLD = 3, 2, 20, 0.75
+K, ELL, SKETCHES, THRESHOLD = 3, 2, 48, 0.75
+#: Most words of the texts whose candidates are exact.
+SHORT = 32
 #: Of a row's runs so many are looked at first when its least are sought; which are found doesn't depend on it.
 _LIKELY = 16
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -72,6 +77,22 @@ def order_sketches(h: np.ndarray, first: np.ndarray, k: int, ell: int, sketches:
     return out
 
 
+def labelled_words(h: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each row of at most ``most``, told apart by their occurrence, and where each row's begin."""
+    n = np.diff(first)
+    n = np.where(n <= most, n, 0)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    x = h[np.repeat(first[:-1] - bounds[:-1], n) + np.arange(bounds[-1])]
+    order = np.lexsort((x, row))
+    x, w = x[order], row[order]
+    index = np.arange(len(x))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (w[1:] != w[:-1])
+    occurrence = (index - np.maximum.accumulate(np.where(new, index, 0))).astype(np.uint64)
+    return mix(x + (occurrence + np.uint64(1)) * _SEED), bounds
+
+
 def word_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many of each row's words fall in each of 256 classes: uint8[rows, 256], 255 for more."""
     n = len(first) - 1
@@ -100,6 +121,7 @@ def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int
             node = sequences(h, w.first).tobytes()
             counts = word_counts(h, w.first).tobytes()
             seq = h.astype(np.uint32).tobytes()
+            short, bounds = labelled_words(h, w.first, SHORT)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id")[a:b],
@@ -109,12 +131,13 @@ def _prepared(batches: Iterator[pa.RecordBatch], k: int, ell: int, sketches: int
                     pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(seq)]),
                     pa.Array.from_buffers(pa.binary(256), b - a, [None, pa.py_buffer(counts)]).cast(pa.binary()),
                     list_array(order_sketches(h, w.first, k, ell, sketches).view(np.int64).ravel(), np.arange(b - a + 1) * sketches),
+                    list_array(short.view(np.int64), bounds),
                 ],
-                ["id", "digest", "node", "words", "seq", "counts", "sketch"],
+                ["id", "digest", "node", "words", "seq", "counts", "sketch", "short"],
             )
 
 
-_PREPARED = "id long, digest binary, node binary, words int, seq binary, counts binary, sketch array<long>"
+_PREPARED = "id long, digest binary, node binary, words int, seq binary, counts binary, sketch array<long>, short array<long>"
 
 
 def prepared(docs: DataFrame, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> DataFrame:
@@ -319,6 +342,20 @@ def clusters(keys: DataFrame, pairs: Callable[[DataFrame, bool], DataFrame], con
     return label if more.isEmpty() else components(edges.unionByName(more), f"{name}-last")
 
 
+def _short_keys(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(key, node) for ``clusters``: the rarest words of the short texts that can have a near copy."""
+    n = F.col("words")
+    # a text without room for an edit is near to itself alone
+    room = F.floor((1 - threshold) * F.floor(n / threshold + 1e-9) + 1e-9) > 0
+    each = nodes.where(room).select(F.col("number").alias("node"), "words", F.explode("short").alias("word"))
+    each = each.select("*", F.expr("count(*) OVER (PARTITION BY word)").alias("many")).where("many > 1")
+    order = "PARTITION BY node ORDER BY many, word"
+    each = each.select("*", F.expr(f"row_number() OVER ({order})").alias("nth"), F.expr("count(*) OVER (PARTITION BY node)").alias("shared"))
+    # those that no other text has come before all of these
+    prefix = n - F.ceil(threshold * n - 1e-9) + 1
+    return each.where(n - F.col("shared") + F.col("nth") <= prefix).select(F.col("word").alias("key"), "node")
+
+
 def named(label: DataFrame, names: DataFrame) -> DataFrame:
     """(node, label) by name for (node, label) by number; ``names`` are (number, name)."""
     label = label.join(names, F.col("node") == F.col("number")).select(F.col("name").alias("node"), "label")
@@ -352,9 +389,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, ell:
     table = written(prepared(docs, k, ell, sketches), "near-words")
     with_words = table.where("words > 0")
     # distinct word sequences are numbered: numbers move in fewer bytes
-    nodes = with_words.select("node", "words", "seq", "counts", "sketch").dropDuplicates(["node"])
+    nodes = with_words.select("node", "words", "seq", "counts", "sketch", "short").dropDuplicates(["node"])
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("number"), "*"), "near-nodes")
-    keys = nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), F.col("number").alias("node"))
+    keys = nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), F.col("number").alias("node")).unionByName(_short_keys(nodes, threshold))
     numbered = nodes.select(F.col("number").alias("node"), "words", "seq", "counts")
     label = clusters(keys, _pairs(numbered.drop("seq"), threshold), lambda pairs: _aligned(pairs, numbered, threshold), "near")
     label = named(label, nodes.select("number", F.col("node").alias("name")))

@@ -140,3 +140,21 @@ def test_documents_of_few_spots_are_compared(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, spots.spot_duplicates(docs).collect())) == [(2, 1), (5, 3), (7, 6)]
+
+
+def heavily_edited(r, n, edits):
+    a = [f"w{r.randrange(10**9)}" for _ in range(n)]
+    b = list(a)
+    for i in r.sample(range(n), edits):
+        b[i] = f"w{r.randrange(10**9)}"
+    return " ".join(a), " ".join(b)
+
+
+def test_near_copies_of_a_quarter_edited_are_caught(spark):
+    r = random.Random(11)
+    for sizes, least in ((range(4, 13), 1.0), ((20, 32), 1.0), ((60, 200), 0.9)):
+        rows = [t for n in sizes for _ in range(30) for t in heavily_edited(r, n, n // 4)]
+        docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+        got = {tuple(x) for x in near.near_duplicates(docs).collect()}
+        want = {(i + 1, i) for i in range(0, len(rows), 2)}
+        assert got <= want and len(got) >= least * len(want)
