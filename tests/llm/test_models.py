@@ -1,12 +1,9 @@
 import os
-import random
-from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from lectern.llm import quality, spans, toxicity
+from lectern.llm import quality, toxicity
 
 DATA = os.environ.get("LECTERN_TEST_DATA", "/root/testdata/sf0.01")
 ODD = [(1, "plain text of words. " * 10, 1), (1, "plain text of words. " * 10, 2), (2, None, 3), (None, "", 4), (3, "word " * 30_000, 5)]
@@ -84,77 +81,3 @@ def test_quality_of_odd_rows(spark):
     assert len({r.score for r in out if r.doc_id == 1}) == 1
     assert quality.quality(odd(spark).limit(0)).count() == 0
     assert quality.of_quality(odd(spark)).columns == ["doc_id", "text", "score"]
-
-
-def brute_spans(rows, sentences, least):
-    """Sentences to remove of each row, from the definition alone."""
-    places, size = defaultdict(list), {}
-    for k, (i, text) in enumerate(rows):
-        if text is None:
-            continue
-        data = np.frombuffer(text.lower().encode(), np.uint8)
-        s = spans.Sentences(data, np.array([0, len(data)]))
-        raw = [data[a:b].tobytes() for a, b in zip(s.start, s.end)]
-        words = [tuple("".join(c if c.isalnum() else " " for c in x.decode()).split()) for x in raw]
-        size[k] = len(words)
-        for j in range(len(words) - sentences + 1):
-            run = tuple(words[j : j + sentences])
-            if sum(map(len, run)) >= least:
-                places[run].append((i, k, j))
-    gone = defaultdict(set)
-    for found in places.values():
-        for _, k, j in sorted(found)[1:]:
-            gone[k] |= {*range(j, j + sentences)}
-    return {k: len(gone[k]) for k in size}
-
-
-def test_substring_dedup_against_brute_force(spark):
-    r = random.Random(7)
-    sentence = lambda: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(r.randint(3, 9))).capitalize() + r.choice([".", "!", "?", ".\n"])
-    shared = [[sentence() for _ in range(r.randint(2, 5))] for _ in range(6)]
-    rows = []
-    for i in range(60):
-        parts = [sentence() for _ in range(r.randint(0, 6))]
-        for s in r.sample(shared, r.randint(0, 2)):
-            at = r.randint(0, len(parts))
-            parts[at:at] = s
-        rows.append((i, " ".join(parts)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {x.doc_id: x for x in spans.substring_dedup(docs).collect()}
-    want = brute_spans(rows, spans.SENTENCES, spans.MIN_WORDS)
-    assert {i: x.removed for i, x in out.items()} == want and sum(want.values())
-    assert all(out[i].text == t for i, t in rows if not want[i])
-
-
-def test_substring_dedup_of_odd_rows(spark):
-    out = spans.substring_dedup(odd(spark)).collect()
-    assert len(out) == len(ODD) and [(x.text, x.sentences, x.removed) for x in out if x.doc_id == 2] == [(None, 0, 0)]
-    assert spans.substring_dedup(odd(spark).limit(0)).count() == 0
-    texts = pa.array(["A b. C d! E\nf"])
-    data = np.frombuffer(texts[0].as_py().encode(), np.uint8)
-    s = spans.Sentences(data, np.array([0, len(data)]))
-    assert [data[a:b].tobytes() for a, b in zip(s.start, s.end)] == [b"A b. ", b"C d! ", b"E\n", b"f"]
-
-
-def test_long_passages_go_wherever_they_begin(spark):
-    r = random.Random(5)
-    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
-    some = lambda n: " ".join(fresh(n))
-    inside, one, lines, short = some(51), some(60), fresh(150), some(50)
-    rows = [
-        (1, f"{some(9)} {inside} {some(5)}. {some(4)}."), (2, f"{some(3)} {inside.upper()} {some(7)}. {some(20)}."),
-        (3, one + "."), (4, f"{some(8)}. {one}! {some(6)}."),
-        (5, ". ".join(lines)), (6, some(4) + ".\n" + "\n".join(lines) + "\n" + some(3)),
-        (7, f"{some(5)} {short} {some(5)}"), (8, f"{some(5)} {short} {some(5)}"),
-        (9, "again " * 400),
-    ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = spans.substring_dedup(docs).collect()
-    assert {x.doc_id for x in found if x.removed} == {2, 4, 6, 9}
-    out = {x.doc_id: x.text for x in found}
-    words = {i: t.split() for i, t in rows}
-    assert all(out[i] == dict(rows)[i] for i in (1, 3, 5, 7, 8))
-    assert out[2].split() == words[2][:3] + words[2][54:]
-    assert out[4].split() == words[4][:8] + words[4][68:]
-    assert out[6].split() == words[6][:4] + words[6][154:]
-    assert out[9].split() == ["again"] * 51
