@@ -65,18 +65,21 @@ _DIGITS = {
 }
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _BETWEEN = r"[\s,.\-]{1,3}"
-_SPELLED = re.compile(rf"\b{_WORD}(?:{_BETWEEN}{_WORD}){{2,}}\b", re.I)
+#: What makes a short spelled number one that identifies: such a word, one to three words before it.
+_CUE = (
+    r"(?:call|phone|telephone|tel|dial|text|fax|ext|extension|pin|code|passcode|password|numéro|téléphone|appelez|composez|mot de passe|"
+    r"nummer|telefon|ruf|rufen|kennwort|número|teléfono|llama|llame|marque|clave|contraseña)"
+)
+_SPELLED = re.compile(rf"(?:\b(?P<cue>{_CUE})\b(?:[\s:,.\-]{{1,3}}[^\W\d_]+){{0,2}}?[\s:,.\-]{{1,3}})?\b(?P<digits>{_WORD}(?:{_BETWEEN}{_WORD}){{2,}})\b", re.I)
 _EACH = re.compile(_WORD, re.I)
 
-_OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_AT = re.compile(rf"(?P<sure>{_OPEN}(?:at|arroba|chez|@){_SHUT})|(?P<bare>(?:\s+|[_\-])at(?:\s+|[_\-]))|(?P<plain>\s*@\s*)", re.I)
-_DOT = rf"{_OPEN}(?:dot|point|punkt|punto|\.){_SHUT}|\s+dot\s+|\s*\.\s*(?=\S)"
-_DOT_WORD = re.compile(rf"{_OPEN}(?:dot|point|punkt|punto|\.){_SHUT}|\s+dot\s+", re.I)
-_DOTS = re.compile(_DOT, re.I)
+# Each pattern begins with a sign or a word, and white space around it is taken along afterwards:
+# a pattern that began with white space would try every place within a long run of it.
+_DOT_WORDS = r"(?:dot|point|punkt|punto|\.)"
+_AT = re.compile(r"(?P<sure>[\[({<]\s*(?:at|arroba|chez|@)\s*[\])}>])|(?P<bare>(?<=[\s_\-])at(?=[\s_\-]))|(?P<plain>@)", re.I)
+_DOT = re.compile(rf"(?P<sure>[\[({{<]\s*{_DOT_WORDS}\s*[\])}}>])|(?P<bare>(?<=\s)dot(?=\s))|(?P<plain>\.)", re.I)
 #: A label after a plain stop must follow at once, or the next sentence would join the domain.
-_DOMAIN = re.compile(rf"[a-z0-9\-]+(?:(?:{_OPEN}(?:dot|point|punkt|punto|\.){_SHUT}|\s+dot\s+|\.)[a-z0-9\-]+)+", re.I)
-_LOCAL = re.compile(rf"[\w+\-]+(?:(?:{_OPEN}(?:dot|point|punkt|punto|\.){_SHUT}|\s+dot\s+|\.)[\w+\-]+)*$", re.I)
-_LOOK_BACK = 128  # an address's local part has at most 64 characters
+_DOMAIN = re.compile(rf"[a-z0-9\-]+(?:(?:\s*[\[({{<]\s*{_DOT_WORDS}\s*[\])}}>]\s*|\s+dot\s+|\.)[a-z0-9\-]+)+", re.I)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERNS = [
@@ -87,8 +90,15 @@ _PATTERNS = [
     ("SSN", re.compile(r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d\-])")),
     ("PHONE", re.compile(r"(?<![\d+])\+\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-]?)?\d(?:[\s.\-]?\d){5,12}(?!\d)|(?<!\d)\(\d{3}\)[\s.\-]?\d{3}[\s.\-]?\d{4}(?!\d)|(?<![\d\-.])\d{3}([\-. ])\d{3}\1\d{4}(?![\d\-])")),
 ]
-#: The number of digits that a spelled number has if it is a telephone's.
-SPELLED_PHONE = range(7, 16)
+#: Digits of a telephone number: seven without an area, and at most fifteen by E.164.
+TELEPHONE = range(7, 16)
+
+
+def spelled_kind(digits: str, cue: bool) -> str | None:
+    """What a spelled number is: a telephone number by its length, a longer one an account's, a shorter one only after a cue."""
+    if len(digits) in TELEPHONE:
+        return "PHONE"
+    return "NUMBER" if cue or len(digits) >= TELEPHONE.stop else None
 
 
 def luhn(digits: str) -> bool:
@@ -141,34 +151,68 @@ def _plain_letters(r: Rewritten) -> None:
     r.rewrite([(m.start(), m.end(), table[ord(m[0])]) for m in pattern.finditer(r.text)])
 
 
+def _around(text: str, m: re.Match) -> tuple[int, int]:
+    """The span of a match with the white space around it; a bare word may have a '_' or '-' there instead."""
+    a, b = m.span()
+    if m["bare"] and not text[a - 1].isspace():
+        a -= 1
+    else:
+        while a and text[a - 1].isspace():
+            a -= 1
+    if m["bare"] and not text[b].isspace():
+        b += 1
+    else:
+        while b < len(text) and text[b].isspace():
+            b += 1
+    return a, b
+
+
+def _word_begin(text: str, end: int) -> int:
+    while end and (text[end - 1].isalnum() or text[end - 1] in "_+-"):
+        end -= 1
+    return end
+
+
 def _addresses(r: Rewritten) -> None:
+    text = r.text
     edits: list[tuple[int, int, str]] = []
-    for m in _AT.finditer(r.text):
-        after = _DOMAIN.match(r.text, m.end())
-        if not after:
+    dots: dict[int, int] | None = None  # where the disguised and plain dots end, and begin
+    for m in _AT.finditer(text):
+        at, after = _around(text, m)
+        domain = _DOMAIN.match(text, after)
+        if not domain:
             continue
-        low = max(m.start() - _LOOK_BACK, edits[-1][1] if edits else 0)
-        before = _LOCAL.search(r.text[low : m.start()])
-        if not before:
+        inner = [(d.span() if d["plain"] else _around(text, d), d["plain"]) for d in _DOT.finditer(text, after, domain.end())]
+        if m["bare"] and all(plain for _, plain in inner):
             continue
-        dots = [d for d in _DOTS.finditer(r.text, after.start(), after.end())]
-        words = _DOT_WORD.search(r.text, after.start(), after.end())
-        if m["bare"] and not words:
+        if dots is None:
+            dots = {}
+            for d in _DOT.finditer(text):
+                a, b = d.span() if d["plain"] else _around(text, d)
+                dots[b] = a
+        low = edits[-1][1] if edits else 0
+        begin, before = _word_begin(text, at), []
+        if begin == at or at <= low:
             continue
-        for d in _DOT_WORD.finditer(before[0]):
-            edits.append((low + before.start() + d.start(), low + before.start() + d.end(), "."))
-        if m[0] != "@":
-            edits.append((*m.span(), "@"))
-        edits += [(*d.span(), ".") for d in dots if d[0] != "."]
+        while begin in dots and dots[begin] >= low and (word := _word_begin(text, dots[begin])) < dots[begin]:
+            before.append((dots[begin], begin))
+            begin = word
+        edits += [(a, b, ".") for a, b in reversed(before) if text[a:b] != "."]
+        if text[at:after] != "@":
+            edits.append((at, after, "@"))
+        edits += [(*span, ".") for span, plain in inner if not plain]
     r.rewrite(edits)
 
 
-def _spelled(r: Rewritten) -> list[tuple[int, int]]:
-    """Rewrites runs of digit words; where they are in the result."""
-    edits = [(*m.span(), "".join(_DIGITS[w[0].lower()] for w in _EACH.finditer(m[0]))) for m in _SPELLED.finditer(r.text)]
-    runs, moved = [], 0
-    for a, b, new in edits:
-        runs.append((a + moved, a + moved + len(new)))
+def _spelled(r: Rewritten) -> list[tuple[int, int, str]]:
+    """Rewrites runs of digit words; where they are in the result, and what they are."""
+    runs, edits, moved = [], [], 0
+    for m in _SPELLED.finditer(r.text):
+        a, b = m.span("digits")
+        new = "".join(_DIGITS[w[0].lower()] for w in _EACH.finditer(m["digits"]))
+        edits.append((a, b, new))
+        if kind := spelled_kind(new, bool(m["cue"])):
+            runs.append((a + moved, a + moved + len(new), kind))
         moved += len(new) - (b - a)
     r.rewrite(edits)
     return runs
@@ -187,7 +231,7 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     found = []
     for rank, (kind, pattern) in enumerate(_PATTERNS):
         found += [(m.start(), -m.end(), rank, kind) for m in pattern.finditer(r.text) if _valid(kind, m[0])]
-    found += [(a, -b, len(_PATTERNS), "PHONE") for a, b in runs if b - a in SPELLED_PHONE]
+    found += [(a, -b, len(_PATTERNS), kind) for a, b, kind in runs]
     out, at = [], 0
     for a, b, _, kind in sorted(found):
         if a >= at:
@@ -267,7 +311,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, begin, end, value): a row for each identifier in each document.
 
     begin and end are character offsets in the source text, end exclusive.  Null and empty texts
-    have none.  Rows that repeat a doc_id or a text each have their own.
+    have none; time is linear in the text, however long its runs of white space.  Rows that repeat a doc_id or a text each have their own.
     """
 
     def spans(texts: pa.Array) -> pa.Array:
@@ -290,7 +334,7 @@ def without_private(docs: DataFrame) -> DataFrame:
     at = f"c{column(docs, 'text')}"
     out = positional(docs).withColumn("masked", F.arrow_udf(mask, "string")(at))
     changed = ~F.col("masked").eqNullSafe(F.col(at))
-    if "n_chars" in docs.columns:
+    if "n_chars" in map(str.lower, docs.columns):
         n = f"c{column(docs, 'n_chars')}"
         out = out.withColumn(n, F.when(changed, F.length("masked").cast(out.schema[n].dataType)).otherwise(F.col(n)))
     return restored(out.withColumn(at, F.col("masked")), docs)

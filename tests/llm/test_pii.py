@@ -63,6 +63,75 @@ def test_the_screen_passes_whatever_can_be_found():
     assert not pii.suspects(pa.array(["", None, "one two, then. Five six at home", "déjà vu"])).any()
 
 
+def test_no_limit_on_how_far_an_address_reaches_back():
+    local = " dot ".join(["part"] * 80)
+    text = f"write to {local} at example dot org today"
+    assert pii.masked(text) == "write to [EMAIL] today"
+    assert pii.masked("x (dot) y.z (at) a (dot) b.com!") == "[EMAIL]!"
+
+
+def test_spelled_numbers_go_by_rule():
+    digits = "one two three four five six seven eight nine zero".split()
+    run = lambda n: " ".join(digits[k % 10] for k in range(n))
+    for n in range(1, 40):
+        want = "" if n < 7 else "PHONE" if n < 16 else "NUMBER"
+        assert {k for k, *_ in pii.find(f"there are {run(n)} of them")} - {"CARD"} <= {want}
+        assert bool(pii.find(f"there are {run(n)} of them")) == (n >= 7)
+        assert bool(pii.find(f"the code is now {run(n)} of them")) == (n >= 3), n
+    assert pii.masked("my pin: four two four two ok") == "my pin: [NUMBER] ok"
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "( ", "@ ", "[", "a.", "at ", " dot ", "one ", "1", "1 ", "a@b ", "a at b.c ", "+1", "-", "é ", "\u00a0"])
+def test_time_is_linear(run):
+    import time
+
+    text = "x@y" + run * (1_000_000 // len(run)) + "@"
+    began = time.perf_counter()
+    pii.find(text)
+    pii.suspects(pa.array([text]))
+    assert time.perf_counter() - began < 30  # on a busy machine; a square would take hours
+
+
+def naive(text):
+    """(kind, begin, end) by another way: every substring between two word bounds is undisguised by itself and tried."""
+    import re
+    import unicodedata
+
+    plain = "".join(unicodedata.normalize("NFKC", c) if len(unicodedata.normalize("NFKC", c)) == 1 else c for c in text)
+    found = []
+    for m in re.finditer(r"\S+(?: (?:at|\(at\)|\[at\]|dot|\(dot\)|\[dot\]) \S+)+|\S+@\S+", plain):
+        value = re.sub(r" (?:\(|\[)?dot(?:\)|\])? ", ".", re.sub(r" (?:\(|\[)?at(?:\)|\])? ", "@", m[0]))
+        if re.fullmatch(r"[\w.+-]+@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}", value, re.I) and ("dot" in m[0] or "@" in m[0] or "(" in m[0]):
+            found.append(("EMAIL", *m.span()))
+    for m in re.finditer(r"\d{3}-\d{3}-\d{4}", plain):
+        found.append(("PHONE", *m.span()))
+    return sorted(found, key=lambda f: f[1])
+
+
+def test_the_table_against_another_finder(spark):
+    r = random.Random(12)
+    words = ["plain", "words", "stand", "here", "été", "grün", "3.5", "dots."]
+    rows = []
+    for i in range(200):
+        parts = [r.choice(words) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 3)):
+            name, host = f"n{r.randint(1, 99)}", f"h{r.randint(1, 99)}"
+            parts.insert(r.randint(0, len(parts)), r.choice([
+                f"{name}@{host}.com", f"{name} at {host} dot org", f"{name} (at) {host} (dot) net", f"{name} [dot] x at {host} dot com", f"ｎ{name}@{host}.de", "212-555-0199",
+            ]))
+            parts.insert(r.randint(0, len(parts)), ";")
+        rows.append((i, " ; ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.begin, x.kind, x.end) for x in pii.private_spans(docs).collect())
+    want = sorted((i, a, k, b) for i, t in rows for k, a, b in naive(t))
+    assert got == want and len(want) > 150
+
+
+def test_character_counts_under_any_case(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co now", 15)], "doc_id long, Text string, N_CHARS int")
+    assert [tuple(x) for x in pii.without_private(docs).collect()] == [(1, "mail [EMAIL] now", 16)]
+
+
 def test_offsets_compose():
     x = pii.Rewritten("abcdef")
     x.rewrite([(1, 3, "X"), (4, 5, "")])
