@@ -1,12 +1,14 @@
 """Quality: a weak-label model over heuristic labellers, and a hashed linear scorer.
 
-Labellers vote good, bad or nothing on every document, from rates over its whole text.  How often
-each combination of votes occurs is counted over the whole corpus; expectation-maximisation on
-those counts estimates how good documents vote and how bad ones do, for each labeller apart, and
-so each combination's posterior of being good.
+Labellers vote good, bad or nothing on every document, from rates over its whole text; several look
+at one fault in different ways, and those overlaps tell the model whom to trust.  How often each
+combination of votes occurs is counted over the whole corpus; expectation-maximisation on those
+counts estimates, for each labeller apart, how it votes on good documents and on bad ones when it
+votes at all, and so each combination's posterior of being good.
 
 The posteriors of at most ``SAMPLE`` documents, drawn by hash, train a linear scorer over hashed
-features: words, and runs of three bytes with their case and signs.  A document's score is the
+features: words, runs of three bytes with their case and signs, and the words' shapes: length, case,
+what follows, and whether the word before is the same.  A document's score is the
 logistic of a bias and its features' mean weights, so it takes one pass over its bytes.
 """
 
@@ -24,9 +26,7 @@ from .common import column, picked, positional, restored, written
 from .kernel import Words, as_string, slices, word_hash
 
 SAMPLE, THRESHOLD = 6_000, 0.5
-DIMENSIONS = 1 << 17
-#: Every labeller is taken to be right in so many of its votes at least.
-RIGHT = 0.8
+DIMENSIONS, SHAPES = 1 << 17, 1 << 11
 GOOD, NONE, BAD = 2, 1, 0
 
 STOPWORDS = (
@@ -44,7 +44,7 @@ _UPPER, _LOWER, _SIGNS, _LOUD, _BARS, _LINES, _STOPS = (
 )
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-LABELLERS = ("length", "stopwords", "signs", "capitals", "loud", "bars", "lines", "variety", "word_length", "sentences")
+LABELLERS = ("length", "stopwords", "signs", "capitals", "loud", "bars", "lines", "variety", "word_length", "sentences", "marks", "drawn", "echo")
 
 
 def rates(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
@@ -62,6 +62,12 @@ def rates(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
     distinct = np.bincount(text[order][new], minlength=len(n))
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+    drawn = np.zeros(len(data), bool)
+    drawn[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~_SPACE[data[2:]]
+    for k in (0, 1):  # no run from one text into the next
+        drawn[(at := rows[:-1] + k)[at < len(data)]] = False
     # lines, by the hash of all of their bytes
     cut = np.zeros(len(data) + 1, bool)
     cut[rows] = True
@@ -88,6 +94,9 @@ def rates(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         "variety": distinct / np.sqrt(many),
         "word_length": np.bincount(text, size, len(n)) / many,
         "sentence": many / np.maximum(count(_STOPS), 1),
+        "marks": count(_SIGNS) / np.maximum(np.diff(rows), 1),
+        "drawn": np.diff(np.concatenate([[0], np.cumsum(drawn)])[rows]) / many,
+        "echo": np.bincount(text[same], minlength=len(n)) / many,
     }
 
 
@@ -99,23 +108,27 @@ def _member(h: np.ndarray, _table: list = []) -> np.ndarray:  # noqa: B006
 
 
 def votes(r: dict[str, np.ndarray]) -> np.ndarray:
-    """uint8[texts, labellers]: GOOD, NONE or BAD."""
-    pick = lambda bad, good=False: np.where(bad, BAD, np.where(good, GOOD, NONE))
+    """uint8[texts, labellers]: GOOD, NONE or BAD; most say nothing of texts of under 20 words."""
+    pick = lambda bad, good: np.where(bad, BAD, np.where(good, GOOD, NONE))
     n = r["words"]
     some = n >= 20
-    # that a text is free of one kind of junk says little; only stopwords, its prose, speak for it
+    between = lambda x, low, high: some & (x > low) & (x < high)
+    less = lambda name, good, bad: pick(r[name] > bad, some & (r[name] < good))
     return np.stack(
         [
-            pick(n < 3),
-            pick(some & (r["stopwords"] < 0.08), r["stopwords"] > 0.12),
-            pick(r["signs"] > 0.2),
-            pick(some & (r["capitals"] > 0.25)),
-            pick(r["loud"] > 0.15),
-            pick(r["bars"] > 0.15),
-            pick(r["lines"] > 0.3),
-            pick(some & (r["variety"] < 2)),
-            pick((r["word_length"] < 2.5) | (r["word_length"] > 14)),
-            pick(some & ((r["sentence"] > 80) | (r["sentence"] < 2))),
+            pick(n < 3, n >= 30),
+            pick(some & (r["stopwords"] < 0.08), between(r["stopwords"], 0.15, 0.5)),
+            less("signs", 0.02, 0.2),
+            pick(some & (r["capitals"] > 0.25), some & (r["capitals"] < 0.06)),
+            less("loud", 0.02, 0.15),
+            less("bars", 0.02, 0.15),
+            less("lines", 0.05, 0.3),
+            pick(some & (r["variety"] < 2), r["variety"] > 5),
+            pick((r["word_length"] < 2.5) | (r["word_length"] > 14), between(r["word_length"], 4, 7)),
+            pick(some & ((r["sentence"] > 80) | (r["sentence"] < 2)), between(r["sentence"], 4, 40)),
+            less("marks", 0.01, 0.08),
+            pick(some & (r["drawn"] > 0.2), some & (r["drawn"] < 0.02)),
+            pick(some & (r["echo"] > 0.1), some & (r["echo"] < 0.02)),
         ],
         axis=1,
     ).astype(np.uint8)
@@ -132,62 +145,62 @@ def unpacked(patterns: np.ndarray, labellers: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Share of good documents, and how documents of each class vote: votes[class, labeller, vote]."""
+    """Share of good documents, and what labellers say of each class when they vote: votes[class, labeller, vote].
+
+    An abstention tells nothing: its entry is 1 for both classes.
+    """
 
     good: float
     votes: np.ndarray
 
+    def joint(self, v: np.ndarray) -> np.ndarray:
+        """Logarithm of each class's share times the chance of the votes in it: float[rows, class]."""
+        logs, at = np.log(self.votes), np.arange(v.shape[1])
+        return np.stack([np.log(share) + logs[c][at, v].sum(axis=1) for c, share in enumerate((1 - self.good, self.good))], axis=1)
+
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        logs = np.log(self.votes)
-        at = np.arange(v.shape[1])
-        odds = np.log(self.good) - np.log1p(-self.good) + (logs[1][at, v] - logs[0][at, v]).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        joint = self.joint(v)
+        return 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -500, 500)))
+
+    def likelihood(self, v: np.ndarray, count: np.ndarray) -> float:
+        joint = self.joint(v)
+        top = joint.max(axis=1)
+        return float(((top + np.log(np.exp(joint - top[:, None]).sum(axis=1))) * count).sum())
 
     @property
     def accuracy(self) -> np.ndarray:
-        """Of each labeller: the share of its votes that are right."""
-        right = self.good * self.votes[1, :, GOOD] + (1 - self.good) * self.votes[0, :, BAD]
-        return right / np.maximum(right + self.good * self.votes[1, :, BAD] + (1 - self.good) * self.votes[0, :, GOOD], 1e-12)
+        """Of each labeller the chance that a vote is right, as estimated."""
+        return self.good * self.votes[1, :, GOOD] + (1 - self.good) * self.votes[0, :, BAD]
 
 
-def estimate(v: np.ndarray, count: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
+def estimate(v: np.ndarray, count: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation from the unanimous start: bad if any labeller says bad.
 
-    A pseudo-count keeps every probability positive; the share of good documents stays within
-    2 and 98 per cent, so that neither class can vanish, and a labeller's votes are right at the
-    rate RIGHT at least, so that several that agree can't turn another upside down.
+    A pseudo-count keeps every probability positive; nothing else bounds what is estimated.
     """
     p = np.where((v == BAD).any(axis=1), 0.1, 0.9)
-    m = LabelModel(0.5, np.full((2, v.shape[1], 3), 1 / 3))
-    before = -np.inf
+    m, before = LabelModel(0.5, np.full((2, v.shape[1], 3), 1.0)), -np.inf
     for _ in range(rounds):
         q = np.stack([(1 - p) * count, p * count])
         table = np.stack([[np.bincount(v[:, j], w, 3) for j in range(v.shape[1])] for w in q]) + 0.5
-        for vote, wrong in ((BAD, 1), (GOOD, 0)):
-            most = (1 - RIGHT) * table[:, :, vote].sum(axis=0)
-            over = np.maximum(table[wrong, :, vote] - most, 0)
-            table[wrong, :, vote] -= over
-            table[1 - wrong, :, vote] += over
-        m = LabelModel(float(np.clip(q[1].sum() / max(q.sum(), 1e-12), 0.02, 0.98)), table / table.sum(axis=2, keepdims=True))
-        logs, at = np.log(m.votes), np.arange(v.shape[1])
-        joint = np.stack([np.log(1 - m.good) + logs[0][at, v].sum(axis=1), np.log(m.good) + logs[1][at, v].sum(axis=1)])
-        top = joint.max(axis=0)
-        each = top + np.log(np.exp(joint - top).sum(axis=0))
-        p = np.exp(joint[1] - each)
-        now = float((each * count).sum())
+        table /= table[:, :, [BAD]] + table[:, :, [GOOD]]
+        table[:, :, NONE] = 1
+        m = LabelModel(float((q[1].sum() + 1) / (q.sum() + 2)), table)
+        p, now = m.posterior(v), m.likelihood(v, count)
         if now - before < tolerance * max(1.0, abs(now)):
             break
         before = now
     return m
 
 
-def hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features of words, bounds, features of byte runs, bounds): indices below DIMENSIONS."""
+def hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(features of words, bounds, features of byte runs, bounds, shapes): indices of weights."""
     w = Words(_LOW[data], rows)
+    shape = shapes(data, w)
     half = DIMENSIONS // 2
     words = (w.hashes % np.uint64(half)).astype(np.int32)
     if len(data) < 3:
-        return words, w.first, np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
+        return words, w.first, np.zeros(0, np.int32), np.zeros(len(rows), np.int64), shape
     code = data[:-2].astype(np.uint32) * np.uint32(0x01000193) ^ data[1:-1].astype(np.uint32) * np.uint32(0x85EBCA6B) ^ data[2:].astype(np.uint32) * np.uint32(0xC2B2AE35)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
@@ -197,7 +210,21 @@ def hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at = rows[1:-1] - k
         inside[at[(at >= 0) & (at < len(code))]] = False
     bounds = np.concatenate([[0], np.cumsum(inside)])[np.minimum(rows, len(code))]
-    return words, w.first, (half + code[inside] % np.uint32(half)).astype(np.int32), bounds
+    return words, w.first, (half + code[inside] % np.uint32(half)).astype(np.int32), bounds, shape
+
+
+def shapes(data: np.ndarray, w: Words) -> np.ndarray:
+    """A feature of each word, below SHAPES beyond DIMENSIONS: what it looks like and what it stands beside."""
+    h = w.hashes
+    text = np.repeat(np.arange(len(w.counts)), w.counts)
+    echo = np.zeros(len(h), bool)
+    echo[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+    upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
+    size = w.end - w.start
+    after = data[np.minimum(w.end, len(data) - 1)] if len(data) else np.zeros(0, np.uint8)
+    kind = np.select([w.end >= len(data), _STOPS[after], after == 44, after == 10, _SIGNS[after], _SPACE[after]], [0, 1, 2, 3, 4, 5], 6)
+    code = np.minimum(size, 15) | echo << 4 | _UPPER[data[w.start]].astype(np.int64) << 5 | (upper[w.end] - upper[w.start] == size).astype(np.int64) << 6
+    return (DIMENSIONS + (code | kind << 7 | _member(h).astype(np.int64) << 10)).astype(np.int32)
 
 
 def _mean(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -206,24 +233,24 @@ def _mean(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndar
 
 
 def score(data: np.ndarray, rows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    words, first, runs, bounds = hashed(data, rows)
-    return 1 / (1 + np.exp(-np.clip(bias + _mean(weights, words, first) + _mean(weights, runs, bounds), -60, 60)))
+    words, first, runs, bounds, shape = hashed(data, rows)
+    return 1 / (1 + np.exp(-np.clip(bias + _mean(weights, words, first) + _mean(weights, runs, bounds) + _mean(weights, shape, first), -60, 60)))
 
 
 def fit(texts: pa.Array, target: np.ndarray, rounds: int = 12, rate: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer by logistic regression on soft targets (AdaGrad, batches of 64)."""
     index, value, begin = [], [], [0]
     for _, _, data, rows in slices(as_string(texts)):
-        words, first, runs, bounds = hashed(data, rows)
+        words, first, runs, bounds, shape = hashed(data, rows)
         for i in range(len(rows) - 1):
-            parts = [np.unique(x[a[i] : a[i + 1]], return_counts=True) for x, a in ((words, first), (runs, bounds))]
+            parts = [np.unique(x[a[i] : a[i + 1]], return_counts=True) for x, a in ((words, first), (runs, bounds), (shape, first))]
             for f, c in parts:
                 index.append(f)
                 value.append((c / c.sum()).astype(np.float32))
             begin.append(begin[-1] + sum(len(f) for f, _ in parts))
     index, value, begin = np.concatenate([np.zeros(0, np.int32), *index]), np.concatenate([np.zeros(0, np.float32), *value]), np.array(begin)
-    weights, bias = np.zeros(DIMENSIONS), 0.0
-    slope, slope_bias = np.full(DIMENSIONS, 1e-6), 1e-6
+    weights, bias = np.zeros(DIMENSIONS + SHAPES), 0.0
+    slope, slope_bias = np.full(len(weights), 1e-6), 1e-6
     random = np.random.default_rng(0)
     for _ in range(rounds):
         order = random.permutation(len(target))
@@ -236,7 +263,7 @@ def fit(texts: pa.Array, target: np.ndarray, rounds: int = 12, rate: float = 4.0
             f, x = index[at], value[at]
             p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(who, weights[f] * x, len(batch)), -60, 60)))
             error = p - target[batch]
-            g = np.bincount(f, error[who] * x, DIMENSIONS) / len(batch)
+            g = np.bincount(f, error[who] * x, len(weights)) / len(batch)
             slope += g * g
             weights -= rate * g / np.sqrt(slope)
             slope_bias += error.mean() ** 2
@@ -282,7 +309,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Quality:
 
     [best] = texts.coalesce(1).mapInArrow(fitted, "weights binary, bias double").collect() or [None]
     if best is None:
-        return Quality(model, np.zeros(DIMENSIONS, np.float32), 0.0)
+        return Quality(model, np.zeros(DIMENSIONS + SHAPES, np.float32), 0.0)
     return Quality(model, np.frombuffer(best.weights, "<f4"), best.bias)
 
 
