@@ -14,6 +14,7 @@ windows by itself.  A queue's positions are prefix sums over the partitions.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,10 @@ from .common import fresh_path, picked, same, written
 from .tokens import id_type, place, token_files
 
 WINDOW = 8192
-#: Of more sources than a window has tokens, the smallest share queues; about so many queues are left.
-QUEUES = 512
+#: Of more sources the smallest share queues, so that about so many queues are left.
+QUEUES = 1024
+#: Default mixture: a source's share goes by this power of its tokens; 1 is the corpus's own mixture.
+TEMPER = 0.5
 #: Shares are whole numbers of this much.
 SHARES = 1 << 16
 
@@ -43,20 +46,40 @@ def had(i, window: int, a: int, b: int, total: int):
 class Stretch:
     """Windows ``first`` .. ``first + many - 1``, in which the same queues are live.
 
-    Of each live source: where its queue is at the beginning, its shares a..b of total (of a
-    single window: its tokens a..b of the window), and its place among the window's sources.
+    Of each live queue, ascending: where it is at the beginning, and its shares a..b of total (of a
+    single window: its tokens a..b of the window).
     """
 
     first: int
     many: int
     window: int
     total: int
-    live: dict[int, tuple[int, int, int, int]]
+    live: np.ndarray
+    at: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
 
-    def had(self, s: int, i):
-        """Position in the queue of ``s`` after ``i`` windows of this stretch."""
-        at, a, b, _ = self.live[s]
-        return at + had(i, self.window, a, b, self.total)
+    def after(self) -> np.ndarray:
+        """Where the queues are at the end."""
+        return self.at + had(np.int64(self.many), self.window, self.a, self.b, self.total)
+
+
+class Turn:
+    """A queue's part in a stretch; ``slot`` is its place among the window's queues."""
+
+    def __init__(self, x: Stretch, k: int):
+        self.first, self.many, self.window, self.total, self.slot = x.first, x.many, x.window, x.total, k
+        self.at, self.a, self.b = int(x.at[k]), int(x.a[k]), int(x.b[k])
+        self.end = self.had(self.many)
+
+    def had(self, i: int) -> int:
+        """Position in the queue after ``i`` windows of this stretch."""
+        return self.at + had(i, self.window, self.a, self.b, self.total)
+
+
+def turns(stretches: list[Stretch], queue: int) -> list[Turn]:
+    at = [int(np.searchsorted(x.live, queue)) for x in stretches]
+    return [Turn(x, k) for x, k in zip(stretches, at) if k < len(x.live) and x.live[k] == queue]
 
 
 def whole_shares(targets: list[float], window: int) -> list[int]:
@@ -76,10 +99,10 @@ def whole_shares(targets: list[float], window: int) -> list[int]:
 def together(targets: list[float], window: int) -> list[list[int]]:
     """The sources of each queue, a queue's in the order in which they are drained.
 
-    Each has one of its own, unless there are more than tokens in a window: then the smallest share
-    queues, each just large enough for two tokens a window and for QUEUES in all.
+    Each has one of its own, unless there are more than QUEUES, or than half the tokens of a window:
+    then the smallest share queues, each just large enough for two tokens a window and for QUEUES in all.
     """
-    if len(targets) <= window:
+    if len(targets) <= min(QUEUES, max(1, window // 2)):
         return [[s] for s in range(len(targets))]
     if sum(targets) <= 0:
         targets = [1.0] * len(targets)
@@ -100,102 +123,105 @@ def schedule(totals: list[int], targets: list[float], window: int) -> list[Stret
     """The stretches that place all tokens of the queues of ``totals`` tokens."""
     if sum(targets) <= 0:
         targets = [1.0] * len(totals)
-    shares, at, out, first = whole_shares(targets, window) if totals else [], [0] * len(totals), [], 0
-    while live := [s for s in range(len(totals)) if at[s] < totals[s]]:
-        bounds = np.concatenate([[0], np.cumsum([shares[s] for s in live])]).tolist()
-        total = bounds[-1]
-        many = None
-        for k, s in enumerate(live):
-            low, high = 0, (totals[s] - at[s]) * total // (window * shares[s]) + 2
-            while low < high:  # most windows that the queue can serve
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if had(mid, window, bounds[k], bounds[k + 1], total) <= totals[s] - at[s] else (low, mid - 1)
-            many = low if many is None else min(many, low)
+    shares = np.array(whole_shares(targets, window) if totals else [], np.int64)
+    total_of, at, out, first = np.array(totals, np.int64), np.zeros(len(totals), np.int64), [], 0
+    while len(live := np.flatnonzero(at < total_of)):
+        bounds = np.concatenate([[0], np.cumsum(shares[live])])
+        total, a, b, left = int(bounds[-1]), bounds[:-1], bounds[1:], (total_of - at)[live]
+        # most windows that every queue can serve: all at once, by halving
+        low, high = np.zeros(len(live), np.int64), left * total // (window * (b - a)) + 2
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            fits = had(middle, window, a, b, total) <= left
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        many = int(low.min())
         if many:
-            stretch = Stretch(first, many, window, total, {s: (at[s], bounds[k], bounds[k + 1], k) for k, s in enumerate(live)})
+            stretch = Stretch(first, many, window, total, live, at[live], a, b)
         else:  # the window in which a queue runs out
             many = 1
-            gets = {s: min(had(1, window, bounds[k], bounds[k + 1], total), totals[s] - at[s]) for k, s in enumerate(live)}
-            while (left := window - sum(gets.values())) and (more := [s for s in live if gets[s] < totals[s] - at[s]]):
-                own = sum(shares[s] for s in more)
-                for s in more:
-                    share = -(-left * shares[s] // own)
-                    take = min(share, totals[s] - at[s] - gets[s], window - sum(gets.values()))
-                    gets[s] += take
-            ends = np.cumsum([gets[s] for s in live]).tolist()
-            filled = ends[-1]
-            stretch = Stretch(first, 1, filled, filled, {s: (at[s], ends[k] - gets[s], ends[k], k) for k, s in enumerate(live)})
-        for s in live:
-            at[s] = stretch.had(s, many)
+            gets = np.minimum(had(np.int64(1), window, a, b, total), left)
+            while (short := int(window - gets.sum())) and (gets < left).any():
+                more = gets < left
+                asked = np.where(more, -(-short * shares[live] // int(shares[live][more].sum())), 0)
+                asked = np.minimum(asked, left - gets)
+                gets += np.clip(short - (np.cumsum(asked) - asked), 0, asked)
+            ends = np.cumsum(gets)
+            stretch = Stretch(first, 1, int(ends[-1]), int(ends[-1]), live, at[live], ends - gets, ends)
+        at[live] = stretch.after()
         out.append(stretch)
         first += many
     return out
 
 
-def segments(stretches: list[Stretch], s: int, begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(window, slot, first position in the queue, tokens) of the ``n`` tokens of source ``s`` from ``begin``."""
+def segments(own: list[Turn], begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(window, slot, first position in the queue, tokens) of the ``n`` tokens of a queue from ``begin``."""
     end = begin + n
-    for x in stretches:
-        if s not in x.live or x.had(s, x.many) <= begin:
-            continue
-        at, a, b, slot = x.live[s]
-        if at >= end:
+    for k in range(bisect_right(own, begin, key=lambda x: x.end), len(own)):
+        x = own[k]
+        if x.at >= end:
             return
-        low = max(0, (begin - at) * x.total // max(1, x.window * (b - a)) - 2)
-        while low > 0 and x.had(s, low) > begin:
+        low = max(0, (begin - x.at) * x.total // max(1, x.window * (x.b - x.a)) - 2)
+        while low > 0 and x.had(low) > begin:
             low -= 1
-        while x.had(s, low + 1) <= begin:
+        while x.had(low + 1) <= begin:
             low += 1
         while begin < end and low < x.many:
-            to = min(end, x.had(s, low + 1))
+            to = min(end, x.had(low + 1))
             if to > begin:
-                yield x.first + low, slot, begin, to - begin
+                yield x.first + low, x.slot, begin, to - begin
             begin, low = max(begin, to), low + 1
 
 
+class Slabs:
+    """Reads of one file after the other, ahead of what is asked for."""
+
+    def __init__(self, folder: str, size: int = 4 << 20):
+        self.fs, self.root = place(folder)
+        self.size, self.name, self.file, self.at, self.held = size, None, None, 0, b""
+
+    def read(self, name: str, at: int, n: int) -> bytes:
+        if name != self.name:
+            self.close()
+            self.name, self.file, self.held = name, self.fs.open_input_file(f"{self.root}/{name}.bin"), b""
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.file.seek(at)
+            self.at, self.held = at, self.file.read(max(n, self.size))
+        return self.held[at - self.at : at - self.at + n]
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
 def _packed(batches: Iterator[pa.RecordBatch], stretches: list[Stretch], sources: dict[str | None, tuple[int, int, int | None]], folder: str, kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    fs, root = place(folder)
-    opened, name = None, None
-    # one queue's stretches only: a document meets few of them
-    own = {q: [x for x in stretches if q in x.live] for q in {q for q, _, _ in sources.values()}}
+    slabs, own, size = Slabs(folder), {}, kind.itemsize
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
-        rows = batch.to_pydict()
-        out: list[list] = [[] for _ in range(7)]
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "name", "at", "tokens", "begin")]
+        out: list[list] = [[] for _ in types]
         held = 0
-
-        def flush() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-            arrays = [pa.array(x, t) for x, t in zip(out, types)]
-            for x in out:
-                x.clear()
-            return pa.RecordBatch.from_arrays(arrays, _COLUMNS)
-
-        for doc, source, file, at, n, begin in zip(*(rows[k] for k in ("doc_id", "source", "name", "at", "tokens", "begin"))):
-            if file != name:
-                if opened:
-                    opened.close()
-                opened, name = fs.open_input_file(f"{root}/{file}.bin"), file
-            opened.seek(at * kind.itemsize)
-            ids = opened.read(n * kind.itemsize)
+        for doc, source, name, at, n, begin in zip(*columns):
+            ids = slabs.read(name, at * size, n * size)
             queue, base, turn = sources[source]
-            for window, slot, first, many in segments(own[queue], queue, base + begin, n):
+            if queue not in own:  # a task meets few of the queues
+                own[queue] = turns(stretches, queue)
+            for window, slot, first, many in segments(own[queue], base + begin, n):
                 a = first - base - begin
-                for column, value in zip(out, (window, slot if turn is None else turn, doc, source, a, many, ids[a * kind.itemsize : (a + many) * kind.itemsize])):
+                for column, value in zip(out, (window, slot if turn is None else turn, doc, source, a, many, ids[a * size : (a + many) * size])):
                     column.append(value)
             held += len(ids)
             if held > 4 << 20:
-                yield flush()
-                held = 0
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], _COLUMNS)
+                out, held = [[] for _ in types], 0
         if out[0]:
-            yield flush()
-    if opened:
-        opened.close()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], _COLUMNS)
+    slabs.close()
 
 
 _COLUMNS = ["window", "slot", "doc_id", "source", "begin", "tokens", "ids"]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float] | None = None, path: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float] | None = None, temper: float = TEMPER, path: str = VOCABULARY) -> DataFrame:
     """(window, slot, doc_id, source, begin, tokens, ids): the pieces of documents in each window.
 
     Within a window pieces are ordered by slot, the source's turn, and within a slot by the
@@ -203,12 +229,13 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float]
     the token files; ``begin`` is its first token's number in its document.  Every token of every
     document, with its end id, is in one window, and all windows but the last are full.
 
-    ``targets`` are the sources' proportions, by default those of their tokens, so that all
-    queues last to the end.  A source without a target, or with one that isn't positive, is left
+    ``targets`` are the sources' proportions, by default the powers ``temper`` of their tokens: 0
+    gives all sources alike, 1 the corpus's own mixture, in which all queues last to the end, and
+    between them small sources come sooner than they would.  A source without a target, or with one that isn't positive, is left
     to the end: it gets the least share, a token per window.  Null is a source like any other.  Null and empty texts
     are their end id alone; repeated rows are documents of their own.  No documents, no windows.
-    Sources are the mixture's components, so one row for each fits the driver.  If more of them have
-    tokens than a window has, the smallest share queues (``together``): such a queue gets the sum of
+    Sources are the mixture's components, so one row for each fits the driver.  If there are more
+    than QUEUES, or than half a window's tokens, the smallest share queues (``together``): such a queue gets the sum of
     its sources' shares and drains them one after the other, those without a target last.
     """
     spark = docs.sparkSession
@@ -218,7 +245,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float]
     before = "OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     bases = written(parts.select("shard", "source", "many", F.expr(f"coalesce(sum(many) {before}, 0)").alias("base")), "packing-bases")
     totals = bases.groupBy("source").agg(F.sum("many").alias("tokens")).orderBy("source").collect()
-    aims = [float(r.tokens if targets is None else max(targets.get(r.source, 0), 0)) for r in totals]
+    aims = [float(r.tokens**temper if targets is None else max(targets.get(r.source, 0), 0)) for r in totals]
     queues, sources, turn = together(aims, window), {}, 0
     for q, members in enumerate(queues):
         base = 0
@@ -229,6 +256,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str | None, float]
     placed = rows.join(
         bases.select(F.col("shard").alias("b_shard"), F.col("source").alias("b_source"), "base"), (F.col("shard") == F.col("b_shard")) & same(F.col("source"), F.col("b_source"))
     ).select("doc_id", "source", "name", "at", "tokens", (F.col("base") + F.col("of_source")).alias("begin"))
+    placed = placed.sortWithinPartitions("name", "at")  # files are read from end to end, however the join was done
     kind = id_type(path)
     schema = "window long, slot int, doc_id long, source string, begin long, tokens int, ids binary"
     return placed.mapInArrow(lambda it: _packed(it, stretches, sources, folder, kind), schema)

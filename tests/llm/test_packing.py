@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm import bpe
-from lectern.llm.packing import pack, schedule, segments, whole_shares
+from lectern.llm.packing import QUEUES, pack, schedule, segments, turns, whole_shares
 
 
 def round_robin(totals, shares, window, windows):
@@ -33,10 +33,10 @@ def test_every_token_once_in_order_and_to_proportion(queues, window):
     stretches = schedule(totals, targets, window)
     fill, per = Counter(), defaultdict(Counter)
     for s, n in enumerate(totals):
-        last = (-1, -1)
+        own, last = turns(stretches, s), (-1, -1)
         for begin in range(0, n, 7):  # documents of seven tokens
             at = begin
-            for w, _slot, first, many in segments(stretches, s, begin, min(7, n - begin)):
+            for w, _slot, first, many in segments(own, begin, min(7, n - begin)):
                 assert first == at and many > 0 and (w, first) > last
                 at, last = first + many, (w, first)
                 fill[w] += many
@@ -78,7 +78,7 @@ def test_windows_hold_the_documents(spark):
 
 def test_default_proportions_and_no_documents(spark):
     docs = spark.createDataFrame([(i, "one two three four", "ab"[i % 3 > 0]) for i in range(300)], "doc_id long, text string, source string")
-    out = pack(docs, 50).collect()
+    out = pack(docs, 50, temper=1).collect()
     per = defaultdict(Counter)
     for r in out:
         per[r.window][r.source] += r.tokens
@@ -90,7 +90,7 @@ def test_more_sources_than_tokens_in_a_window(spark):
     rows = [(i, "one two three", f"s{i % 70:02}") for i in range(350)] + [(1000 + i, "word " * 40, "big") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     for targets in (None, {"big": 1.0} | {f"s{i:02}": 0.01 for i in range(60)}):
-        out = pack(docs, 16, targets).collect()
+        out = pack(docs, 16, targets, temper=1).collect()
         fill, tokens, per = Counter(), defaultdict(list), Counter()
         for r in out:
             fill[r.window] += r.tokens
@@ -106,3 +106,27 @@ def test_more_sources_than_tokens_in_a_window(spark):
         total = sum(fill.values())
         share = sum(r.tokens for r in out if r.source == "big") / total if targets is None else 1 / 1.6
         assert all(abs(per[w, True] - 16 * share) <= 2 for w in range(last // 2))
+
+
+def test_tempered_shares(spark):
+    rows = [(i, "one two three four", "hot" if i % 10 else "cold") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = {s: sum(r.tokens for r in pack(docs, 64, temper=0).collect() if r.source == s) for s in ("hot", "cold")}
+    for temper in (0, 0.5, 1):
+        per = Counter()
+        for r in pack(docs, 64, temper=temper).collect():
+            per[r.source] += r.tokens * (r.window == 0)
+        assert abs(per["cold"] - 64 * n["cold"] ** temper / (n["cold"] ** temper + n["hot"] ** temper)) <= 1
+
+
+def test_many_queues_are_scheduled_quickly():
+    import time
+
+    r = np.random.default_rng(3)
+    totals = [int(x) for x in r.integers(1, 3_000_000, QUEUES)]
+    began = time.perf_counter()
+    stretches = schedule(totals, [t**0.5 for t in totals], 8192)
+    assert time.perf_counter() - began < 60
+    last = stretches[-1]
+    assert last.first + last.many == -(-sum(totals) // 8192)
+    assert sum(int(x.after().sum() - x.at.sum()) for x in stretches) == sum(totals)
