@@ -7,7 +7,7 @@ documents and in tokens, are prefix sums over what the partitions hold; so nothi
 but a row for each file, and files are written once, side by side.
 
 A task that runs twice writes two files under different names; only the one that its committed
-rows name counts, and the others are deleted.
+rows name counts, and the run's others are deleted.  A folder holds one corpus.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ def with_ends(ids: np.ndarray, bounds: np.ndarray, end: int, kind: np.dtype) ->
     return np.insert(ids, bounds[1:], end).astype(kind), bounds + np.arange(len(bounds))
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, run: str) -> Iterator[pa.RecordBatch]:
     shard, end, kind = TaskContext.get().partitionId(), vocabulary(path).size, id_type(path)
     fs, root = place(folder)
-    name, total, offsets = f"{shard:07d}-{uuid.uuid4().hex}", 0, [np.zeros(1, np.uint64)]
+    name, total, offsets = f"{run}-{shard:07d}-{uuid.uuid4().hex[:12]}", 0, [np.zeros(1, np.uint64)]
     seen: dict[str | None, int] = {}  # tokens so far of each source
     out = None
     for batch in batches:
@@ -83,15 +83,19 @@ def token_files(docs: DataFrame, folder: str, path: str = VOCABULARY) -> tuple[D
     rows: shard, name, doc_id, source, at (tokens before it in its file), tokens (with the end
     id), of_source (tokens of the same source before it in its file), a row for each document.
     manifest: shard, name, documents, tokens, first_document, first_token, a row for each file,
-    written to ``folder``/manifest too.  No documents, no files.
+    written to ``folder``/manifest too.  No documents, no files.  doc_id is taken as a long.  A
+    folder that has a manifest already is refused; other files in it are left alone.
     """
     fs, root = place(folder)
     fs.create_dir(root, recursive=True)
+    if fs.get_file_info(f"{root}/manifest").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{folder} holds a corpus already")
+    run = uuid.uuid4().hex[:12]
     names = {"doc_id": "doc_id", "text": "text"} | ({"source": "source"} if "source" in map(str.lower, docs.columns) else {})
     rows = picked(docs, **names)
     source = F.col("source").cast("string") if "source" in names else F.lit(None).cast("string")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text")
-    rows = written(rows.mapInArrow(lambda it: _written(it, folder, path), _WRITTEN), "token-rows")
+    rows = written(rows.mapInArrow(lambda it: _written(it, folder, path, run), _WRITTEN), "token-rows")
     # one row for each file goes through one task: prefix sums have an order
     before = "OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     manifest = rows.groupBy("shard", "name").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
@@ -99,11 +103,11 @@ def token_files(docs: DataFrame, folder: str, path: str = VOCABULARY) -> tuple[D
         "*", F.expr(f"coalesce(sum(documents) {before}, 0)").alias("first_document"), F.expr(f"coalesce(sum(tokens) {before}, 0)").alias("first_token")
     )
     schema = manifest.schema
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    manifest.write.parquet(f"{folder}/manifest")
     manifest = docs.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
     good = {r.name for r in manifest.select("name").toLocalIterator()}
     for f in fs.get_file_info(pafs.FileSelector(root)):
-        if f.extension in ("bin", "idx") and f.base_name.rpartition(".")[0] not in good:
+        if f.base_name.startswith(f"{run}-") and f.base_name.rpartition(".")[0] not in good:
             fs.delete_file(f.path)
     return rows, manifest
 
