@@ -91,9 +91,11 @@ def features(data: np.ndarray, rows: np.ndarray, learnt: np.ndarray, stems: np.n
     for at, x in stem_hashes(w):
         begin[at[_member(x, stems)]] = True
     second = _member(h, _second())
-    near = np.zeros(len(h), bool)
-    for at in np.flatnonzero(second):
-        near[max(at - NEAR, w.first[text[at]]) : min(at + NEAR + 1, w.first[text[at] + 1])] = True
+    at = np.flatnonzero(second)
+    step = np.zeros(len(h) + 1, np.int64)
+    np.add.at(step, np.maximum(at - NEAR, w.first[text[at]]), 1)
+    np.add.at(step, np.minimum(at + NEAR + 1, w.first[text[at] + 1]), -1)
+    near = np.cumsum(step[:-1]) > 0
     hit = seed | know | begin
     # bytes
     length = np.maximum(np.diff(rows), 1)
@@ -345,6 +347,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The documents that aren't toxic, columns as they were; null texts stay."""
+    """The documents that aren't toxic, columns as they were.
+
+    Null texts stay, empty ones are scored as any other, and rows with equal texts stay or go
+    together, each as a row of its own.  No documents, no rows.
+    """
     out = scored(docs, train(docs, labels, sample))
     return restored(out.where(F.coalesce(F.col("probability") < threshold, F.lit(True))), docs)
