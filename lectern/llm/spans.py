@@ -162,11 +162,11 @@ class Filter:
 
 def _bits(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
     """The set bits of a task's hashes, by segment."""
-    bits = np.zeros(many, bool)
+    bits = np.zeros(many >> 3, np.uint8)
     for batch in batches:
         for at in Filter.places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), many):
-            bits[at] = True
-    packed = np.packbits(bits, bitorder="little").reshape(SEGMENTS, -1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    packed = bits.reshape(SEGMENTS, -1)
     some = np.flatnonzero(packed.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["segment", "bits"])
 
