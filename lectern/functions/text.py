@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
+#: Words that are no keywords, in English and French.
 STOPWORDS = tuple(
-    "le la les un une des de du et à au aux en dans par pour sur avec sans ou où ce cet cette ces qui que quoi dont est sont être il elle ils elles on nous vous "
-    "je tu se sa son ses leur leurs ne pas plus the a an of to in and or for on with by from is are be this that as at it".split()
+    "a ainsi also an and après are as at au aux avait avant avec be but by can ce ces cet cette chez comme could d dans de des did do does dont down du "
+    "entre est et for from had has have here if in into is it la le les leur leurs mais may might ne not of on ont or ou our out où par pas plus pour quand "
+    "que qui quoi sa sans se ses shall should so son sont sous sur than that the their them then there these they this those to un une up us vers was we "
+    "were will with would you your yours étaient était été être".split()
 )
 
 
@@ -40,18 +43,11 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Lower-case tokens of three signs or more that are neither stopwords nor all digits, in text order."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([A-Za-zÀ-ÖØ-öø-ÿ0-9\\-]+)"), 1)
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~F.array_contains(stop, t))
-
-
 def cleaned_keyword(text: Column) -> Column:
-    """Without label, list mark, quotes and punctuation around it; single spaces."""
-    out = F.regexp_replace(strip(text), r"(?i)^(?:keywords?|mots?[- ]clés?)\s*:\s*", "")
-    out = F.regexp_replace(out, r"^(?:[-*•]|\d+[.)])\s*", "")
-    return normalized_space(F.regexp_replace(out, r"""^[\s"'`.,;:]+|[\s"'`.,;:]+$""", ""))
+    """Without label, list mark, and the quotes, brackets and punctuation around it; single spaces."""
+    out = F.regexp_replace(strip(text), r"(?iu)^(?:keywords?|mots?-?\s*clés?)(?U)\s*:\s*", "")
+    out = F.regexp_replace(out, r"^(?U)\s*(?:\d+[.)]|[-–•●·])\s*", "")
+    return F.regexp_replace(F.btrim(strip(out), F.lit(" \t\r\n\"'.,;:()[]{}")), f"{SPACE}+", " ")
 
 
 def deepest(headings: list[Column]) -> Column:
@@ -64,6 +60,35 @@ def parsed_list(reply: Column) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<string>")
 
 
+#: An embedded image; its second group is the data URL, its third the base64 data.
+IMAGE = r"!\[([^\]]*)\]\((data:image/[a-zA-Z0-9.+-]+;base64,([^)]+))\)"
+
+
 def image_text_only(text: Column, description: str = "pas de description") -> Column:
     """Embedded images replaced by a constant description between the image tags."""
-    return F.regexp_replace(text, r"!\[[^\]]*\]\(data:image/[^;)]+;base64,[^)]*\)", f"<IMAGE DESCRIPTION START>{description}<IMAGE DESCRIPTION END>")
+    return F.regexp_replace(text, IMAGE, f"<IMAGE DESCRIPTION START>{description}<IMAGE DESCRIPTION END>")
+
+
+def one_line(text: Column) -> Column:
+    """A text as an embedding service takes it: line ends as spaces, stripped, a space for nothing."""
+    out = strip(F.translate(text, "\r\n", "  "))
+    return F.when(out == "", F.lit(" ")).otherwise(out)
+
+
+def shell_quoted(text: Column) -> Column:
+    """A text within single quotes, as one word of a shell."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, in whole seconds, as 2000-01-02T03:04:05Z."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def plain_digits(text: Column) -> Column:
+    return text.rlike("^[0-9]+$")
+
+
+def parameter(encoded: Column) -> Column:
+    """A parameter that came base64-encoded; null for what isn't."""
+    return F.try_to_binary(encoded, F.lit("base64")).cast("string")

@@ -1,13 +1,22 @@
-"""Lines, headings, greedy packing, keywords and titles of chunks."""
+"""Lines, headings, chunks, keywords and titles.
+
+Columns that an operator adds replace the caller's columns of the same names; those that it only
+needs in between can't clash with any.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import deepest, keyword_tokens, split_lines, strip, token_count
+from lectern.functions.html import html_to_markdown
+from lectern.functions.markdown import BUDGET, chunked, cuts
+from lectern.functions.text import STOPWORDS, deepest, file_stem, split_lines, strip, token_count
+from lectern.functions.tokens import NO_KEYWORD, Tokens, parts
 
 LEVELS = range(1, 7)
+_OWN = "__lectern_"
 
 
 def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -17,11 +26,11 @@ def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 def heading_level(line: Column) -> Column:
     """1 to 6 for a heading, 0 for any other line."""
-    return F.length(F.regexp_extract(line, r"^(#{1,6})(?U)\s+\S", 1)).cast("int")
+    return F.length(F.regexp_extract(line, r"^(#{1,6})(?U)[\s\x1c-\x1f].", 1)).cast("int")
 
 
 def heading_title(line: Column) -> Column:
-    return strip(F.regexp_replace(line, r"^#{1,6}(?U)\s+", ""))
+    return strip(F.regexp_replace(line, r"^#{1,6}", ""))
 
 
 def with_headings(lines: DataFrame, id: str, order: str = "line_no") -> DataFrame:
@@ -30,64 +39,87 @@ def with_headings(lines: DataFrame, id: str, order: str = "line_no") -> DataFram
     A heading of level k holds until the next of level k or less: it is the last in the group of
     lines that a running count of headings above level k delimits.
     """
+    g = lambda k: f"{_OWN}g{k}"
     w = Window.partitionBy(id).orderBy(order)
-    out = lines.withColumn("level", heading_level(F.col("line"))).withColumn("title", heading_title(F.col("line")))
-    for k in LEVELS:
-        out = out.withColumn(f"g{k}", F.sum(F.when((F.col("level") > 0) & (F.col("level") < k), 1).otherwise(0)).over(w))
+    out = lines.withColumn("level", heading_level(F.col("line"))).withColumn(g(0), heading_title(F.col("line")))
+    out = out.select("*", *(F.sum(F.when((F.col("level") > 0) & (F.col("level") < k), 1).otherwise(0)).over(w).alias(g(k)) for k in LEVELS))
     for k in LEVELS:
-        group = Window.partitionBy(id, f"g{k}").orderBy(order)
-        out = out.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(group))
-    return out.drop("title", *(f"g{k}" for k in LEVELS)).withColumn("full_headings", F.concat_ws("; ", *(F.nullif(F.col(f"h{k}"), F.lit("")) for k in LEVELS)))
+        group = Window.partitionBy(id, g(k)).orderBy(order)
+        out = out.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.col(g(0))), ignorenulls=True).over(group))
+    return out.drop(*map(g, range(7))).withColumn("full_headings", _joined([F.col(f"h{k}") for k in LEVELS]))
+
+
+def _joined(titles: list[Column]) -> Column:
+    return F.concat_ws("; ", *(F.nullif(t, F.lit("")) for t in titles))
 
 
 def numbered(headings: DataFrame, id: str, order: str = "line_no", level: str = "level") -> DataFrame:
     """Heading rows with ``numbering``: counters by level, zero below a new heading, zeros left out."""
+    g, n = (lambda k: f"{_OWN}g{k}"), (lambda k: f"{_OWN}n{k}")
     w = Window.partitionBy(id).orderBy(order)
-    out = headings
+    out = headings.select("*", *(F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w).alias(g(k)) for k in LEVELS))
     for k in LEVELS:
-        out = out.withColumn(f"g{k}", F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w))
-    for k in LEVELS:
-        group = Window.partitionBy(id, f"g{k}").orderBy(order)
-        out = out.withColumn(f"n{k}", F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(group))
-    parts = F.array(*(F.when(F.col(f"n{k}") > 0, F.col(f"n{k}").cast("string")) for k in LEVELS))
-    return out.withColumn("numbering", F.array_join(parts, ".")).drop(*(f"{x}{k}" for x in "gn" for k in LEVELS))
+        group = Window.partitionBy(id, g(k)).orderBy(order)
+        out = out.withColumn(n(k), F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(group))
+    of = [F.when(F.col(level) >= k, F.when(F.col(n(k)) > 0, F.col(n(k)).cast("string"))) for k in LEVELS]
+    return out.withColumn("numbering", F.array_join(F.array(*of), ".")).drop(*(f(k) for f in (g, n) for k in LEVELS))
 
 
-def packed(blocks: DataFrame, keys: list[str], order: str, budget: int = 200, tokens: str = "n_tokens") -> DataFrame:
+def packed(blocks: DataFrame, keys: list[str], order: str, budget: int = BUDGET, tokens: str = "n_tokens") -> DataFrame:
     """(keys, chunk_no, approx_tokens, n_blocks): greedy chunks of blocks that are never split.
 
     A chunk is closed before the block that would take it over ``budget``, if it has any block.
-    The fold runs within a row per group, over sizes alone.
+    Sizes alone are gathered, a row per group, and cut in time linear in the blocks.
     """
-    sizes = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("int").alias("t")))).alias("blocks"))
-    zero = F.expr("named_struct('done', cast(array() as array<struct<tok:int,n:int>>), 'tok', 0, 'n', 0)")
+    sizes = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("int").alias("t")))).alias("b"))
+    chunks = sizes.select(*keys, F.posexplode(cuts(F.transform("b", lambda x: x["t"]), budget)).alias("at", "c"))
+    return chunks.select(*keys, (F.col("at") + 1).alias("chunk_no"), F.col("c.tokens").alias("approx_tokens"), F.col("c.blocks").alias("n_blocks"))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["tok"] + x["t"] > budget)
-        closed = F.concat(acc["done"], F.array(F.struct(acc["tok"].alias("tok"), acc["n"].alias("n"))))
-        return F.struct(
-            F.when(full, closed).otherwise(acc["done"]).alias("done"),
-            F.when(full, x["t"]).otherwise(acc["tok"] + x["t"]).alias("tok"),
-            F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-        )
+def sized_lines(docs: DataFrame, id: str = "doc_id") -> DataFrame:
+    return lines(docs, id).withColumn("n_tokens", token_count(F.col("line")))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["tok"].alias("tok"), acc["n"].alias("n"))))).otherwise(acc["done"])
 
-    chunks = sizes.select(*keys, F.posexplode(F.aggregate("blocks", zero, step, finish)).alias("at", "c"))
-    return chunks.select(*keys, (F.col("at") + 1).alias("chunk_no"), F.col("c.tok").alias("approx_tokens"), F.col("c.n").alias("n_blocks"))
+def frequent(text: Column, n: int = 5) -> Column:
+    """The ``n`` most frequent content tokens of a text, ties by first place; none for null."""
 
+    def best(texts: pa.Array) -> pa.Array:
+        out = [Tokens(part, NO_KEYWORD).content(STOPWORDS).best(n) for _, part in parts(texts)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
-def sized_lines(docs: DataFrame, id: str = "doc_id") -> DataFrame:
-    return lines(docs, id).withColumn("n_tokens", token_count(F.col("line")))
+    return F.arrow_udf(best, "array<string>")(F.lower(text))
 
 
 def top_keywords(docs: DataFrame, n: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, keywords): the ``n`` most frequent tokens, ties by first place; documents without any are left out."""
-    tokens = docs.select(id, F.posexplode(keyword_tokens(F.col(text))).alias("at", "token"))
-    counts = tokens.groupBy(id, "token").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("n"), "first"))).where(F.col("r") <= n)
-    return best.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("keywords"))
+    """(id, keywords): the ``n`` most frequent tokens; documents without any are left out."""
+    return docs.select(id, frequent(F.col(text), n).alias("keywords")).where(F.size("keywords") > 0)
+
+
+def chunk(docs: DataFrame, budget: int = BUDGET, compat: bool = True, drop_empty: bool = False, source: str = "source_file", text: str = "text") -> DataFrame:
+    """(chunk_id, text, headings, heading, full_headings, keywords, approx_tokens): the chunks of Markdown texts.
+
+    A chunk's id is the stem of its text's ``source`` and its number there.  A section of blank
+    lines alone gives an empty chunk unless ``drop_empty``.  ``compat`` keeps a paragraph in front
+    of an image description twice if blank lines part it from the next.  A null or empty text has
+    no chunks; rows of one source are numbered each by itself.  Everything happens within the row.
+    """
+    c = docs.select(F.col(source).cast("string").alias("source"), F.posexplode(chunked(F.col(text), budget, compat, not drop_empty)).alias("at", "c"))
+    titles = [F.get("c.titles", F.lit(k - 1)) for k in LEVELS]
+    deeper = lambda k: F.coalesce(*titles[k:], F.lit(None)).isNull()
+    return c.select(
+        F.concat(file_stem(F.col("source")), F.lit("-"), F.col("at") + 1).alias("chunk_id"),
+        F.col("c.text").alias("text"),
+        F.struct(*(t.alias(f"h{k}") for k, t in zip(LEVELS, titles))).alias("headings"),
+        F.struct(*(F.when(deeper(k), t).alias(f"h{k}") for k, t in zip(LEVELS, titles))).alias("heading"),
+        _joined(titles).alias("full_headings"),
+        frequent(F.col("c.text")).alias("keywords"),
+        F.col("c.tokens").alias("approx_tokens"),
+    )
+
+
+def pages_to_chunks(pages: DataFrame, budget: int = BUDGET, source: str = "url", html: str = "html") -> DataFrame:
+    """The chunks of HTML pages: ``chunk`` of their Markdown."""
+    return chunk(pages.select(F.col(source).alias("source_file"), html_to_markdown(F.col(html)).alias("text")), budget)
 
 
 def add_title(chunks: DataFrame, headings: list[str], text: str = "text") -> DataFrame:

@@ -1,57 +1,238 @@
-"""Phrases, spans, vocabularies and keyword lists."""
+"""Key phrases, vocabularies and keyword lists.
+
+Runs of 1 to 3 content tokens are candidates; a run in quotes or emphasis, an entity or a noun
+phrase adds to its score.  A document's candidates are worked out where the document is, so only
+phrases with their partial counts are shuffled, once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple, Protocol
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import cleaned_keyword, keyword_tokens, parsed_list
+from lectern.functions.text import STOPWORDS, cleaned_keyword, parsed_list
+from lectern.functions.tokens import NO_KEYWORD, Tokens, parts
+
+QUOTES = (r'"([^"\n]{2,})"', r"“([^”\n]{2,})”", r"«\s*([^»\n]{2,})\s*»")
+EMPHASIS = (r"\*\*([^*\n]{2,})\*\*", r"\*([^*\n]{2,})\*", r"__([^_\n]{2,})__", r"_([^_\n]{2,})_")
+LONGEST, LEAST_SIGNS = 3, 3
+QUOTED, NOUNS, ENTITY, NAMED, LONGER = 2.5, 1.5, 2.0, 3.0, 0.25
+NAMES = frozenset(("ORG", "PRODUCT", "WORK_OF_ART", "MISC"))
+CONTENT = frozenset(("NOUN", "PROPN", "ADJ"))
+
+_MARKS = re.compile('["“«*_]')
+_TOKEN = re.compile(NO_KEYWORD)
+_STOP = frozenset(STOPWORDS)
+
+
+def content_tokens(text: str) -> list[str]:
+    """The content tokens of one text, as ``Tokens.content`` finds them for many."""
+    return [t for t in _TOKEN.split(text.lower()) if len(t) >= 3 and t not in _STOP and not (t.isascii() and t.isdigit())]
+
+
+def _signs(phrase: str) -> int:
+    return len(phrase) - phrase.count(" ")
+
+
+def marked(text: str, patterns: Iterable[str], tokens: Callable[[str], list[str]] = content_tokens) -> Iterator[str]:
+    """What stands between marks, as 1 to 3 content tokens; by pattern, then by place."""
+    for pattern in patterns if _MARKS.search(text) else ():
+        for m in re.finditer(pattern, text):
+            raw = m[1].strip()
+            words = tokens(raw) if len(raw) > 1 else []
+            if 0 < len(words) <= LONGEST and _signs(phrase := " ".join(words)) >= LEAST_SIGNS:
+                yield phrase
+
 
-QUOTES = ('"([^"\n]+)"', "«([^»\n]+)»", "“([^”\n]+)”")
-EMPHASIS = (r"\*\*([^*\n]+)\*\*", r"__([^_\n]+)__", r"\*([^*\n]+)\*", r"_([^_\n]+)_")
+class Scored(NamedTuple):
+    """A batch's candidates, a row for each of a document's phrases."""
 
+    row: np.ndarray
+    phrase: pa.Array
+    score: np.ndarray
+    seen: np.ndarray  # the order in which a document's phrases come up
 
-def phrases(docs: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc_id, phrase, words): a row for each run of 1 to ``longest`` content tokens that has three signs."""
-    t = docs.select("doc_id", keyword_tokens(F.col("text")).alias("t"))
-    none = F.expr("cast(array() as array<struct<phrase:string,words:int>>)")
 
-    def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(F.array_join(F.slice("t", i, n), " ").alias("phrase"), F.lit(n).alias("words")))
-        return F.when(F.size("t") >= n, each).otherwise(none)
+def scored(texts: pa.Array, patterns: tuple[str, ...]) -> Scored:
+    """All candidates of some texts: a point for each run, QUOTED for each that stands between marks."""
+    low = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())
+    rows, names, scores, seen = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], [np.zeros(0)], [np.zeros(0, np.int64)]
+    spans: list[tuple[int, str, int]] = []
+    some = pc.match_substring_regex(texts, _MARKS.pattern).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(some).tolist():
+        spans += [(i, phrase, k) for k, phrase in enumerate(marked(texts[i].as_py(), patterns))]
+    begin = max((k for _, _, k in spans), default=0) + 1
+    tokens = Tokens(low, NO_KEYWORD).content(STOPWORDS)
+    for n, row, which, count, first, phrases in tokens.phrases(LONGEST):
+        score, order = count + LONGER * (n - 1), begin + n * len(tokens.code) + first
+        mine = [s for s in spans if s[1].count(" ") == n - 1]
+        if mine:
+            code = pc.index_in(pa.array([s[1] for s in mine], phrases.type), value_set=phrases).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(row * len(phrases) + which, np.array([s[0] for s in mine]) * len(phrases) + code)
+            np.add.at(score, at, QUOTED)
+            np.minimum.at(order, at, np.array([s[2] for s in mine]))
+        enough = pc.greater_equal(pc.utf8_length(pc.replace_substring(phrases, " ", "")), LEAST_SIGNS).to_numpy(zero_copy_only=False)[which]
+        rows.append(row[enough])
+        names.append(phrases.take(pa.array(which[enough])))
+        scores.append(score[enough])
+        seen.append(order[enough])
+    return Scored(np.concatenate(rows), pa.concat_arrays(names), np.concatenate(scores), np.concatenate(seen))
 
-    out = t.select("doc_id", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("p")).select("doc_id", "p.phrase", "p.words")
-    return out.where(F.length(F.replace("phrase", F.lit(" "), F.lit(""))) >= 3)
 
+def _vocabulary(batches: Iterator[pa.RecordBatch], patterns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(phrase, df, score): in how many of a slice's texts each phrase is, and its best score there."""
+    for batch in batches:
+        for _, texts in parts(batch.column("text")):
+            found = scored(texts, patterns)
+            table = pa.table({"phrase": found.phrase, "score": found.score}).group_by("phrase").aggregate([("score", "count"), ("score", "max")])
+            table = pa.table({"phrase": table["phrase"].cast(pa.string()), "df": table["score_count"], "score": table["score_max"]})
+            yield from table.combine_chunks().to_batches()
 
-def document_frequency(docs: DataFrame, longest: int = 3) -> DataFrame:
-    """(phrase, df): in how many documents each phrase is."""
-    return phrases(docs, longest).select("doc_id", "phrase").distinct().groupBy("phrase").agg(F.count("*").alias("df"))
 
+def _partial(docs: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    return docs.select("text").where("text IS NOT NULL").mapInArrow(lambda it: _vocabulary(it, patterns), "phrase string, df long, score double")
 
-def scores(docs: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc_id, phrase, score): windows, and a quarter for each word beyond the first."""
-    return phrases(docs, longest).groupBy("doc_id", "phrase", "words").agg(F.count("*").alias("n")).select("doc_id", "phrase", (F.col("n") + 0.25 * (F.col("words") - 1)).alias("score"))
 
+def document_frequency(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS) -> DataFrame:
+    """(phrase, df): in how many rows each phrase is; rows of equal texts count one by one."""
+    return _partial(docs, patterns).groupBy("phrase").agg(F.sum("df").alias("df"))
 
-def specificity(docs: DataFrame) -> DataFrame:
+
+def specificity(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS) -> DataFrame:
     """(phrase, score): each phrase's best score in any document."""
-    return scores(docs).groupBy("phrase").agg(F.max("score").alias("score"))
+    return _partial(docs, patterns).groupBy("phrase").agg(F.max("score").alias("score"))
+
+
+def vocabulary(docs: DataFrame, order: str = "freq") -> DataFrame:
+    """All phrases in order: by 'freq' in how many documents they are, by 'specificity' their best score;
+    longer ones first among equals, and then by themselves."""
+    found, by = {"freq": (document_frequency, "df"), "specificity": (specificity, "score")}[order]
+    return found(docs).orderBy(F.desc(by), F.desc(F.length("phrase")), "phrase")
+
+
+_RANKED = "array<struct<phrase:string,score:double>>"
+_RANKED_TYPE = pa.list_(pa.struct([("phrase", pa.string()), ("score", pa.float64())]))
+
+
+def _best(texts: pa.Array, most: int, patterns: tuple[str, ...]) -> pa.Array:
+    out = []
+    for _, part in parts(texts):
+        found = scored(part, patterns)
+        length = pc.utf8_length(found.phrase).to_numpy(zero_copy_only=False)
+        order = np.lexsort((found.seen, -length, -found.score, found.row))
+        row = found.row[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+        order = order[keep]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(part)))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([found.phrase.take(pa.array(order)).cast(pa.string()), pa.array(found.score[order])], ["phrase", "score"])
+        out.append(pa.ListArray.from_arrays(pa.array(bounds), pairs))
+    return pa.concat_arrays(out) if out else pa.array([], _RANKED_TYPE)
+
+
+def key_phrases(docs: DataFrame, least: int = 6, most: int = 8, patterns: tuple[str, ...] = QUOTES, id: str = "doc_id") -> DataFrame:
+    """(id, rnk, phrase, score): each document's best phrases, ``most`` of them, or ``least`` if that is more.
+
+    By score, then length, then first occurrence.  A document without candidates has no row.
+    """
+    many = max(least, most)
+    best = F.arrow_udf(lambda texts: _best(texts, many, patterns), _RANKED)
+    return docs.select(id, F.posexplode(best("text")).alias("at", "p")).select(id, (F.col("at") + 1).alias("rnk"), "p.phrase", "p.score")
+
+
+def marked_spans(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS, id: str = "doc_id") -> DataFrame:
+    """(id, phrase): a row for each span in quotes or emphasis that has 1 to 3 content tokens."""
+
+    def spans(texts: pa.Array) -> pa.Array:
+        return pa.array([[*marked(t or "", patterns)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return docs.select(id, F.explode(F.arrow_udf(spans, "array<string>")("text")).alias("phrase"))
+
+
+class Token(NamedTuple):
+    """A token as a language model annotates it."""
+
+    text: str
+    lemma: str = ""
+    pos: str = "NOUN"
+    stop: bool = False
+    apart: bool = False  # white space, punctuation, a quote, or like a number
+
+
+class Annotated(NamedTuple):
+    tokens: list[Token]
+    entities: list[tuple[int, int, str]] = []  # from token, to token, label
+    nouns: list[tuple[int, int]] = []
+
+
+class Annotator(Protocol):
+    """A language model, made once for each task and given whole texts."""
+
+    def annotate(self, text: str) -> Annotated: ...
+
+
+class Plain:
+    """The annotator without a model: content tokens are nouns, and there are neither entities nor noun phrases."""
+
+    def annotate(self, text: str) -> Annotated:
+        return Annotated([Token(t) for t in content_tokens(text)])
+
+
+def normalized(tokens: Iterable[Token]) -> list[str]:
+    """Lower-case lemmas of the tokens that carry content."""
+    kept = (t for t in tokens if not t.apart and not t.stop and (t.pos in CONTENT or t.text.isalpha()))
+    return [w for t in kept if (w := (t.lemma or t.text).strip().lower())]
+
+
+def annotated_phrases(text: str, annotator: Annotator, patterns: tuple[str, ...]) -> list[tuple[str, float]]:
+    """(phrase, score) of one text, best first, with entities and noun phrases."""
+    if not text.strip():
+        return []
+    a, weights = annotator.annotate(text), {}
+
+    def add(words: list[str], weight: float) -> None:
+        if 0 < len(words) <= LONGEST and _signs(phrase := " ".join(words)) >= LEAST_SIGNS:
+            weights[phrase] = weights.get(phrase, 0.0) + weight
+
+    content = lambda tokens: [t for t in tokens if t.pos in CONTENT and not t.stop and not t.apart]
+    for begin, end, label in a.entities:
+        add(normalized(a.tokens[begin:end]), NAMED if label.upper() in NAMES else ENTITY)
+    for begin, end in a.nouns:
+        add(normalized(content(a.tokens[begin:end]))[:LONGEST], NOUNS)
+    for phrase in marked(text, patterns, lambda raw: normalized(annotator.annotate(raw).tokens)):
+        add(phrase.split(" "), QUOTED)
+    tokens = content(a.tokens)
+    for n in range(1, LONGEST + 1):
+        for at in range(len(tokens) - n + 1):
+            add(normalized(tokens[at : at + n]), 1.0)
+    scored = [(p, w + LONGER * p.count(" ")) for p, w in weights.items()]
+    return sorted(scored, key=lambda x: (-x[1], -len(x[0])))
 
 
-def key_phrases(docs: DataFrame, n: int = 8) -> DataFrame:
-    """(doc_id, rnk, phrase): each document's ``n`` best; by score, then length, then the phrase."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("phrase")), "phrase")
-    return scores(docs).withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= n).select("doc_id", "rnk", "phrase")
+def annotated_key_phrases(docs: DataFrame, annotator: Callable[[], Annotator], least: int = 6, most: int = 8, patterns: tuple[str, ...] = QUOTES, id: str = "doc_id") -> DataFrame:
+    """``key_phrases`` with an annotator, which is made once for each batch of Arrow data."""
+    many = max(least, most)
 
+    def best(texts: pa.Array) -> pa.Array:
+        model = annotator()
+        return pa.array([[{"phrase": p, "score": s} for p, s in annotated_phrases(t or "", model, patterns)[:many]] for t in texts.to_pylist()], _RANKED_TYPE)
 
-def marked_spans(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS) -> DataFrame:
-    """(doc_id, span): what stands in quotes or emphasis."""
-    return docs.select("doc_id", F.explode(F.concat(*(F.regexp_extract_all("text", F.lit(p), 1) for p in patterns))).alias("span"))
+    return docs.select(id, F.posexplode(F.arrow_udf(best, _RANKED)("text")).alias("at", "p")).select(id, (F.col("at") + 1).alias("rnk"), "p.phrase", "p.score")
 
 
-def listed_keywords(replies: DataFrame, id: str, most: int = 20) -> DataFrame:
-    """(id, pos, keyword): a reply's list, cleaned, without repeats in any case, at most ``most``."""
-    each = replies.select(id, F.posexplode(parsed_list(F.col("reply"))).alias("at", "raw")).select(id, "at", cleaned_keyword(F.col("raw")).alias("keyword")).where("keyword <> ''")
-    first = each.withColumn("nth", F.row_number().over(Window.partitionBy(id, F.lower("keyword")).orderBy("at"))).where("nth = 1")
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy(id).orderBy("at"))).where(F.col("pos") <= most).select(id, "pos", "keyword")
+def listed_keywords(reply: Column, most: int = 20) -> Column:
+    """The list within a reply, cleaned, without repeats in any case, at most ``most``; empty without a list."""
+    cleaned = F.filter(F.transform(parsed_list(reply), cleaned_keyword), lambda k: k != "")
+    # of each lower-case form the first stays; a reply's list is short
+    pairs = F.transform(cleaned, lambda k: F.struct(k.alias("k"), F.lower(k).alias("low")))
+    first = F.aggregate(
+        pairs, F.expr("cast(array() as array<struct<k:string,low:string>>)"),
+        lambda done, x: F.when(F.exists(done, lambda y: y["low"] == x["low"]) | (F.size(done) >= most), done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.coalesce(F.transform(first, lambda x: x["k"]), F.expr("cast(array() as array<string>)"))

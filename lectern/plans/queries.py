@@ -1,15 +1,21 @@
-"""The registered queries, and SQL that gives the same rows."""
+"""The registered queries: each applies an operator to whole tables, or to the hand-derived fixtures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import STOPWORDS, image_text_only, token_count
-from lectern.functions.vectors import cosine_distance
-from lectern.operators import chat, chunking, collection, keywords, retrieval
-
-QUESTION = ["the", "that", "trash"]
+from lectern.functions.html import html_to_markdown, strip_contents
+from lectern.functions.text import image_text_only, normalized_space, one_line, parameter, shell_quoted, token_count
+from lectern.functions.vectors import cosine_distance, similarity
+from lectern.operators import chat, chunking, collection, generation, keywords, retrieval
+from lectern.plans import fixtures
+from lectern.plans.oracles import ORACLE_SQL  # noqa: F401  the two belong together
+from lectern.providers import Canned, Hashing
+from lectern.sources import jsonl
+from lectern.storage import scratch
+
+QUESTION = "the that trash"
 MODEL, VERSION = "hashing", "1"
 
 
@@ -17,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vector(vectors: DataFrame, vec_id: int):
-    """One stored vector as a literal."""
+def _vector(vectors: DataFrame, vec_id: int) -> list[float]:
+    """One stored vector, a query's."""
     found = vectors.where(F.col("vec_id") == vec_id).select("embedding").first()
-    return F.array(*(F.lit(float(x)) for x in (found.embedding if found else [])))
+    return [float(x) for x in found.embedding] if found else []
 
 
 def knn_top50(spark: SparkSession, d: str) -> DataFrame:
@@ -28,17 +34,39 @@ def knn_top50(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(vectors, _vector(vectors, 0), 50)
 
 
+def knn_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of every hundredth vector among all."""
+    vectors = table(spark, d, "embeddings")
+    return retrieval.nearest_each(vectors, vectors.where("vec_id % 100 = 0"), 5)
+
+
+def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest by the index of all vectors."""
+    vectors = table(spark, d, "embeddings")
+    query = _vector(vectors, 0)
+    return retrieval.approximate(retrieval.signatures(vectors, len(query)), query, 10)
+
+
 def result_overlap(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     one, two = (retrieval.nearest(vectors, _vector(vectors, i), 50).select("vec_id") for i in (0, 10))
     return one.intersect(two)
 
 
-def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").where("label IS NOT NULL")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("a < b").select("a", "b", F.round(cosine_distance(F.col("x"), F.col("y")), 6).alias("distance"))
-    return pairs.select("a", "b", "distance", F.round(1 - F.col("distance"), 6).alias("similarity"))
+def pair_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector against the next."""
+    v = table(spark, d, "embeddings")
+    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    pairs = a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(cosine_distance(F.col("x"), F.col("y")), 6).alias("distance"))
+    return pairs.select("a", "b", "distance", F.round(similarity(F.col("distance")), 6).alias("similarity"))
+
+
+def distance_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text against the next, embedded by three models."""
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    texts = items.alias("a").join(items.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+    each = [F.round(cosine_distance(collection.embedding_of("x", Hashing(w)), collection.embedding_of("y", Hashing(w))), 6).alias(f"d{w}") for w in (16, 64, 256)]
+    return texts.select("item_id", *each)
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
@@ -49,45 +77,75 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sized_lines(table(spark, d, "documents")).select("doc_id", "line_no", "n_tokens")
 
 
+def spaces_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", normalized_space(F.col("text")).alias("text"), F.length(one_line(F.col("text"))).alias("one_line"))
+
+
 def keywords_top5(spark: SparkSession, d: str) -> DataFrame:
     return chunking.top_keywords(table(spark, d, "documents")).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 def _outline(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's documents as one text with headings, line by line."""
-    docs = table(spark, d, "documents")
-    name = F.concat(F.lit("### doc "), F.col("doc_id").cast("string"))
-    each = docs.select("source", "lang", "doc_id", F.explode(F.array(F.struct(F.lit(3).alias("k"), name.alias("line")), F.struct(F.lit(4).alias("k"), F.lit("body").alias("line")))).alias("x"))
-    top = docs.select("source").distinct().select("source", F.lit("").alias("lang"), F.lit(-1).cast("long").alias("doc_id"), F.lit(1).alias("k"), F.concat(F.lit("# "), F.col("source")).alias("line"))
-    mid = docs.select("source", "lang").distinct().select("source", "lang", F.lit(-1).cast("long").alias("doc_id"), F.lit(2).alias("k"), F.concat(F.lit("## "), F.col("lang")).alias("line"))
-    rows = top.unionByName(mid).unionByName(each.select("source", "lang", "doc_id", "x.k", "x.line"))
-    return rows.select("source", F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id", "k")).alias("line_no"), "line")
-
-
-_OUTLINE = """
-    o AS (
-        SELECT DISTINCT source, '' AS lang, -1 AS doc_id, 1 AS k, '# ' || source AS line FROM documents
-        UNION ALL SELECT DISTINCT source, lang, -1, 2, '## ' || lang FROM documents
-        UNION ALL SELECT source, lang, doc_id, 3, '### doc ' || doc_id FROM documents
-        UNION ALL SELECT source, lang, doc_id, 4, 'body' FROM documents
-    ), l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id, k) AS line_no FROM o)
-"""
+    """The documents' lines, of which every third is made a heading, of level 1 to 3 by its length."""
+    rows = chunking.lines(table(spark, d, "documents"))
+    line = F.when(F.col("line_no") % 3 == 1, F.concat(F.repeat(F.lit("#"), (F.length("line") % 3 + 1).cast("int")), F.lit(" x"), F.col("line"))).otherwise(F.col("line"))
+    return rows.select("doc_id", "line_no", line.alias("line"))
 
 
 def heading_context(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.with_headings(_outline(spark, d), "source").select("source", "line_no", "h1", "h2", "h3", "full_headings")
+    return chunking.with_headings(_outline(spark, d), "doc_id").select("doc_id", "line_no", "h1", "h2", "h3", "full_headings")
 
 
 def heading_numbers(spark: SparkSession, d: str) -> DataFrame:
     rows = _outline(spark, d).withColumn("level", chunking.heading_level(F.col("line"))).where("level > 0")
-    return chunking.numbered(rows, "source").select("source", "line_no", "numbering")
+    return chunking.numbered(rows, "doc_id").select("doc_id", "line_no", "numbering")
 
 
 def section_pack(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed(chunking.sized_lines(table(spark, d, "documents")), ["doc_id"], "line_no").select("doc_id", "chunk_no", "approx_tokens", F.col("n_blocks").alias("n_lines"))
+    """The outline's lines packed within each section: a heading flushes."""
+    rows = _outline(spark, d).withColumn("head", chunking.heading_level(F.col("line")) > 0)
+    rows = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no"))).where("NOT head")
+    rows = rows.withColumn("n_tokens", token_count(F.col("line")))
+    out = chunking.packed(rows, ["doc_id", "section"], "line_no", 20)
+    return out.select("doc_id", "section", "chunk_no", "approx_tokens", F.col("n_blocks").alias("n_lines"))
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as Markdown with its source and language for headings."""
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n"), F.col("text"))
+    return table(spark, d, "documents").select(F.concat(F.lit("doc."), F.col("doc_id"), F.lit(".md")).alias("source_file"), text.alias("text"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    out = chunking.chunk(_markdown(spark, d), 50)
+    return out.select("chunk_id", "text", "headings.h1", "headings.h2", F.col("heading.h1").alias("deepest1"), F.col("heading.h2").alias("deepest2"), "full_headings", "approx_tokens", F.array_join("keywords", "|").alias("keywords"))
+
+
+def html_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html_to_markdown("html").alias("markdown"))
+
+
+def contents_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without a table of contents; these have none in front of which one is put."""
+    contents = F.lit('<div class="toc"><p>x</p></div><p class="MsoToc2">y</p><ul><li><a href="#_Toc1">z</a></li></ul><p> Table  of\ncontents</p>')
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), contents))
+    return table(spark, d, "pages").select("page_id", strip_contents(html).alias("html"))
+
+
+def pages_to_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.pages_to_chunks(table(spark, d, "pages")).select("chunk_id", "text", "full_headings", "approx_tokens")
 
 
 def md_table_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each region's nations as a Markdown table, parsed."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.concat(F.lit("| "), F.col("n_nationkey"), F.lit(" | "), F.col("n_name"), F.lit(" | more |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\n")
+    text = rows.groupBy(F.col("r_name").alias("region")).agg(F.concat(F.lit("| key | name |\n|---|:---:|\n"), body).alias("text"))
+    return chunking.chunk(text.select(F.col("region").alias("source_file"), "text"), 1000).select(F.split_part("chunk_id", F.lit("-"), F.lit(1)).alias("region"), "text")
+
+
+def relation_text(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.select(F.col("r_name").alias("region"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     return chunking.table_text(rows, ["region"], ["key", "name"], "key")
@@ -103,25 +161,65 @@ def _chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_info(spark: SparkSession, d: str) -> DataFrame:
-    return collection.chunks_per_file(_chunk_ids(spark, d))
+    return collection.info(_chunk_ids(spark, d))
 
 
 def corpus_purge(spark: SparkSession, d: str) -> DataFrame:
     return collection.chunks_per_file(collection.purged(_chunk_ids(spark, d), "src1?"))
 
 
+def corpus_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """All documents chunked, embedded and added, one file added again, some purged, and what is left."""
+    corpus = collection.Corpus(spark, scratch(spark, "corpus")).reset()
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("."), F.col("doc_id"), F.lit(".md")).alias("source_file"), "text")
+    embedded = corpus.embeddings(docs)
+    corpus.add(embedded)
+    corpus.add(embedded.where(collection.file_of(F.col("chunk_id")).endswith("7")), "replace")
+    gone = corpus.purge("src1?.*")
+    return corpus.info().select("file", "n", F.lit(gone).cast("long").alias("purged"))
+
+
+def corpus_request(spark: SparkSession, d: str) -> DataFrame:
+    """The request for a question over the embedded benchmark items."""
+    corpus = collection.Corpus(spark, scratch(spark, "request")).reset()
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("item."), F.col("item_id"), F.lit(".md")).alias("source_file"), F.concat(F.lit("# item\n"), F.col("text")).alias("text"))
+    corpus.add(corpus.embeddings(items, 100_000))
+    return corpus.request(QUESTION, "some-model", rerank=True, k=5).select("n_tokens", F.get_json_object("request", "$.model").alias("model"), F.get_json_object("request", "$.messages[0].content").alias("prompt"))
+
+
 def bm25_top50(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), QUESTION, 50)
+    return retrieval.bm25(table(spark, d, "documents"), retrieval.re_terms(QUESTION), 50)
+
+
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index, which is built first."""
+    return retrieval.Postings(spark, scratch(spark, "postings")).build(table(spark, d, "documents")).search(retrieval.re_terms(QUESTION), 50)
+
+
+def _two_stage(spark: SparkSession, d: str, last: int) -> DataFrame:
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    query = _vector(table(spark, d, "embeddings"), 0)
+    return retrieval.two_stage(vectors, query, table(spark, d, "documents"), QUESTION, last=last)
 
 
 def two_stage_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.two_stage(table(spark, d, "documents"), QUESTION)
+    return _two_stage(spark, d, 50).select("doc_id", "distance", "reranker", "rnk")
 
 
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    hits = retrieval.two_stage(docs, QUESTION, last=10).join(docs.select("doc_id", "text"), "doc_id")
-    return retrieval.prompt(hits, " ".join(QUESTION), "rnk").select("prompt")
+    return retrieval.prompt(_two_stage(spark, d, 10), QUESTION, "rnk")
+
+
+def request_json(spark: SparkSession, d: str) -> DataFrame:
+    out = table(spark, d, "benchmark").select("item_id", retrieval.request_json(F.col("text"), "some-model").alias("request"))
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("item_id").cast("string").alias("content")).alias("message"))).alias("choices")))
+    return out.select("item_id", F.get_json_object("request", "$.messages[0].content").alias("content"), F.get_json_object("request", "$.model").alias("model"), retrieval.answer_of(reply).alias("answer"))
+
+
+def map_reduce_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A question asked of each turn of a conversation, and then of the answers; the generator says how long its prompt is."""
+    parts = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("part"), "text")
+    return generation.answered(parts, "Who?", Canned(lambda p: str(len(p))), ["conv_id"])
 
 
 def embed_cache_key(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +229,13 @@ def embed_cache_key(spark: SparkSession, d: str) -> DataFrame:
 def embed_cache_miss(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     cached = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(collection.cache_key(F.col("text"), MODEL, VERSION).alias("k"))
-    return collection.cache_misses(docs, cached, MODEL, VERSION).agg(F.count("*").alias("n_miss"), F.countDistinct("k").alias("n_distinct_miss"))
+    found = collection.cache_misses(docs, cached, MODEL, VERSION).agg(F.count("*").alias("n_miss"), F.countDistinct("k").alias("n_distinct_miss"))
+    return found.crossJoin(docs.agg(F.count("*").alias("n_total")))  # one row each
+
+
+def embed_docs(spark: SparkSession, d: str) -> DataFrame:
+    out = collection.embed(table(spark, d, "documents").select("doc_id", "text"), Hashing(8), scratch(spark, "cache"))
+    return out.select("doc_id", *(F.round(F.get("embedding", F.lit(i)), 5).cast("double").alias(f"e{i}") for i in range(8)), F.col("model.name").alias("model"), F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("dated"))
 
 
 def vocab_docfreq(spark: SparkSession, d: str) -> DataFrame:
@@ -151,178 +255,162 @@ def quoted_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_list_parse(spark: SparkSession, d: str) -> DataFrame:
+    """A reply with a list of each part's words, marked and repeated in capitals, read back."""
     words = F.split("p_name", " ")
-    quoted = F.transform(words, lambda w: F.concat(F.lit('"- '), w, F.lit(' "')))
-    reply = F.concat(F.lit("Sure: ["), F.array_join(F.concat(quoted, F.transform(words, lambda w: F.concat(F.lit('"'), F.upper(w), F.lit('"')))), ", "), F.lit("] done"))
-    return keywords.listed_keywords(table(spark, d, "part").select("p_partkey", reply.alias("reply")), "p_partkey")
+    quoted = F.concat(F.transform(words, lambda w, i: F.concat(F.lit('"'), F.element_at(F.array(*map(F.lit, ["1. ", "- ", "• ", "Keyword: ", "(", " · "])), i % 6 + 1), w, F.lit(' ."'))), F.transform(words, lambda w: F.concat(F.lit('"'), F.upper(w), F.lit('"'))))
+    reply = F.concat(F.lit("Sure: ["), F.array_join(quoted, ", "), F.lit("] done"))
+    found = table(spark, d, "part").select("p_partkey", F.posexplode(keywords.listed_keywords(reply)).alias("at", "keyword"))
+    return found.select("p_partkey", (F.col("at") + 1).alias("pos"), "keyword")
+
+
+def llm_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords that a generator gives: the first three words of each text."""
+    docs = table(spark, d, "documents")
+    answer = Canned(lambda p: '["' + '", "'.join(p.removeprefix(generation.ASK_KEYWORDS).split()[:3]).replace("\\", "") + '"]')
+    return generation.llm_keywords(docs.select("doc_id", F.translate("text", '"\\', "").alias("text")), answer, "doc_id").select("doc_id", F.size("keywords").alias("n"))
 
 
 def projector_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").ilike("%the%"), "the").otherwise("autre").alias("label"))
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    out = jsonl.projector(docs.withColumn("embedding", F.transform("embedding", lambda x: F.round(x * 100).cast("int"))), "the")
+    return out
 
 
 def image_text(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("before ![k](data:image/png;base64,AAAA) "), F.col("lang"), F.lit(" ![](data:image/gif;base64,BB==) "), F.col("source"))
+    """Every text with an image before and after it, described by a constant."""
+    text = F.concat(F.lit("![k](data:image/png;base64,AAAA) "), F.col("text"), F.lit(" ![](data:image/gif;base64,BB==)"))
     return table(spark, d, "documents").select("doc_id", image_text_only(text).alias("text"))
 
 
+class _Sized:
+    """Describes an image by the length of its URL."""
+
+    def describe(self, images: list[str]) -> list[str]:
+        return [f"an image of {len(x)} signs" for x in images]
+
+
+def images_described(spark: SparkSession, d: str) -> DataFrame:
+    """Every third text with its own image in front, described once for each distinct one, through a cache."""
+    image = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("![a](data:image/png;base64,"), F.repeat(F.lit("A"), (F.col("doc_id") % 50 + 1).cast("int")), F.lit(") "))).otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(image, "text").alias("text"))
+    return collection.describe_images(docs, _Sized(), scratch(spark, "images"))
+
+
 def chat_last_user(spark: SparkSession, d: str) -> DataFrame:
     return chat.last_requests(table(spark, d, "conversations"))
 
 
+def chat_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The unfiltered templates, for all conversations and one of which there is only a raw body."""
+    turns = table(spark, d, "conversations")
+    bodies = turns.select("conv_id", F.lit("raw").alias("body")).distinct().unionByName(spark.sql("SELECT -1L AS conv_id, 'only a body' AS body"))
+    return chat.last_requests(turns, unfiltered=("A {REQUEST}!", "no place"), variables={"FILTER": "none"}, bodies=bodies)
+
+
 def chat_history(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations")
     return chat.history(turns, "Answer from the context.", chat.last_requests(turns))
 
 
-def chat_slash(spark: SparkSession, d: str) -> DataFrame:
+def chat_context(spark: SparkSession, d: str) -> DataFrame:
+    """Histories with a pair of turns that carries context."""
     turns = table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" /SET name"), F.col("conv_id").cast("string"), F.lit("  v"), F.col("turn").cast("string"))).otherwise(F.col("role"))
-    return chat.commands(turns.select("conv_id", "turn", text.alias("said")), "said").select("conv_id", "turn", "cmd", "arg1", "arg2")
+    context = turns.groupBy("conv_id").agg(F.concat(F.lit("of "), F.count("*")).alias("text"))
+    return chat.augmented(chat.history(turns, "", chat.last_requests(turns)), context)
 
 
-def stream_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Answers as events of a word each, ended by done, folded again."""
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """The turns, even ones as commands: /SET with a name and every other time a value."""
+    value = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("  v"), F.col("turn"))).otherwise("")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" /SET name"), F.col("turn") % 3, value)).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+
+
+def chat_slash(spark: SparkSession, d: str) -> DataFrame:
+    return chat.commands(_said(spark, d), "text").select("conv_id", "turn", "cmd", "arg1", "arg2", "open")
+
+
+def chat_variables(spark: SparkSession, d: str) -> DataFrame:
+    found = chat.variables(chat.commands(_said(spark, d), "text"), ["conv_id"], "turn")
+    return chat.shown(found, ["conv_id"])
+
+
+def chat_client_history(spark: SparkSession, d: str) -> DataFrame:
+    return chat.client_history(_said(spark, d), ["conv_id"], "turn").select("conv_id", "turn", "role", "text")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn as a stream: a word an event, by one of five shapes, thinking first, a tool call with its
+    end at the beginning of every third, noise in between, and an end, which every fifth lacks."""
     turns = table(spark, d, "conversations").where("text IS NOT NULL")
     words = turns.select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("seq", "w"))
-    pieces = words.select("conv_id", "turn", "seq", F.to_json(F.struct(F.struct(F.col("w").alias("content")).alias("message"))).alias("event"))
-    ends = turns.select("conv_id", "turn", F.lit(1 << 30).alias("seq"), F.lit('{"done":true}').alias("event"))
-    return chat.answers(pieces.unionByName(ends), ["conv_id", "turn"])
+    j = lambda shape: F.to_json(shape)
+    content = F.struct(F.col("w").alias("content"))
+    shapes = [
+        j(F.struct(content.alias("message"))), j(F.struct(F.struct(content.alias("delta")).alias("message"))), j(F.struct(content.alias("delta"))),
+        j(F.struct(F.col("w").alias("response"))), j(content),
+    ]
+    n = F.col("seq") % 5
+    event = F.when(n == 0, shapes[0]).when(n == 1, shapes[1]).when(n == 2, shapes[2]).when(n == 3, shapes[3]).otherwise(shapes[4])
+    pieces = words.select("conv_id", "turn", (F.col("seq") * 2 + 10).alias("seq"), event.alias("event"))
+    noise = words.select("conv_id", "turn", (F.col("seq") * 2 + 11).alias("seq"), F.lit("no json {").alias("event"))
+    of = lambda seq, event, where="true": turns.where(where).select("conv_id", "turn", F.lit(seq).alias("seq"), F.lit(event).alias("event"))
+    start = of(0, '{"messages":[]}').unionByName(of(1, '{"message":{"content":"","thinking":"hm"}}'))
+    tool = of(2, '{"message":{"content":"","tool_calls":[{}]}}', "turn % 3 = 0").unionByName(of(3, '{"done":true}', "turn % 3 = 0"))
+    ends = of(1 << 30, '{"done":true}', "turn % 5 > 0").unionByName(of((1 << 30) + 1, '{"message":{"content":"late"}}', "turn % 5 > 0"))
+    return pieces.unionByName(noise).unionByName(start).unionByName(tool).unionByName(ends)
+
+
+def stream_fold(spark: SparkSession, d: str) -> DataFrame:
+    return chat.answers(_events(spark, d), ["conv_id", "turn"])
+
+
+def stream_terminated(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream's last event once those without an end have one."""
+    ended = chat.terminated(_events(spark, d).where("turn % 3 > 0"), ["conv_id", "turn"])
+    return ended.groupBy("conv_id", "turn").agg(F.max_by("event", "seq").alias("event"))
+
+
+def tool_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Turns asked of a model that first calls a tool, by text for odd lengths and JSON for even ones."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return chat.conversed(turns, fixtures.Calling, {"length": fixtures.length}).select("conv_id", "turn", "answer", "n_messages")
+
+
+def jsonl_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as lines, with a broken one after every fifth, and read in each way."""
+    path, schema = scratch(spark, "lines"), "conv_id long, turn long, text string"
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    line = F.to_json(F.struct("conv_id", "turn", "text"))
+    turns.select(F.explode(F.when(F.col("turn") % 5 == 0, F.array(line, F.lit("{broken"), F.lit(""))).otherwise(F.array(line))).alias("value")).write.text(path)
+    good = jsonl.skipping(spark, path, schema).agg(F.count("*").alias("skipping"), F.sum("turn").alias("turns"))
+    _, counts = jsonl.counting(spark, path, schema)
+    passed = jsonl.passed_on(jsonl.passing(spark, path, schema)).agg(F.count("*").alias("passing"), F.count_if(F.col("value") == "{broken").alias("broken"))
+    return good.crossJoin(counts).crossJoin(passed)  # one row each
+
+
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters, quoting and hashes of the benchmark's texts."""
+    out = table(spark, d, "benchmark").select("item_id", parameter(F.base64(F.encode("text", "utf-8"))).alias("text"), shell_quoted(F.col("text")).alias("quoted"), F.sha1("text").alias("sha1"))
+    return out
+
+
+def _ordered(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return fixtures.QUERIES[name](spark)
+
+    query.__name__ = name
+    return query
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_top50, result_overlap, pairwise_distance, token_estimate, line_blocks, keywords_top5, heading_context, heading_numbers, section_pack,
-        md_table_text, add_title, corpus_info, corpus_purge, bm25_top50, two_stage_rerank, prompt_context, embed_cache_key, embed_cache_miss,
-        vocab_docfreq, vocab_specificity, phrases_per_doc, quoted_spans, keyword_list_parse, projector_labels, image_text, chat_last_user,
-        chat_history, chat_slash, stream_fold,
+        knn_top50, knn_batch, knn_approximate, result_overlap, pair_distance, distance_by_model, token_estimate, line_blocks, spaces_normalized, keywords_top5, heading_context,
+        heading_numbers, section_pack, chunks, html_markdown, contents_stripped, pages_to_chunks, md_table_text, relation_text, add_title, corpus_info, corpus_purge,
+        corpus_lifecycle, corpus_request, bm25_top50, bm25_postings, two_stage_rerank, prompt_context, request_json, map_reduce_answers, embed_cache_key, embed_cache_miss, embed_docs,
+        vocab_docfreq, vocab_specificity, phrases_per_doc, quoted_spans, keyword_list_parse, llm_keywords, projector_labels, image_text, images_described,
+        chat_last_user, chat_templates, chat_history, chat_context, chat_slash, chat_variables, chat_client_history, stream_fold, stream_terminated, tool_rounds, jsonl_modes, text_functions,
+        *map(_ordered, fixtures.QUERIES),
     )
 }
-
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_TOKENS = f"""list_filter(regexp_extract_all(lower(text), '[A-Za-zÀ-ÖØ-öø-ÿ0-9\\-]+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN ({_STOP}))"""
-_COUNT = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
-_LINES = f"""
-    s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-    t AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM s),
-    lines AS (SELECT doc_id, i AS line_no, {_COUNT.format("a[i]")} AS n_tokens FROM (SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM t))
-"""
-_NEAR = """(SELECT v.vec_id, round(CASE WHEN list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) IS NULL THEN 1.0
-    ELSE 1 - greatest(-1.0, least(1.0, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))) END, 6) AS distance
-    FROM embeddings v, embeddings q WHERE q.vec_id = {0} ORDER BY distance, v.vec_id LIMIT 50)"""
-_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(QUESTION))
-_SCORE = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(QUESTION)))
-_BM25 = f"""
-    w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+') AS w FROM documents),
-    c AS (SELECT doc_id, text, w, len(w) AS dl, {_TF} FROM w),
-    st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(QUESTION)))} FROM c),
-    hits AS (SELECT doc_id, text, w, round({_SCORE}, 6) AS score FROM c, st WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(QUESTION)))})
-"""
-_RERANK = f"""{_BM25}, first AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM hits ORDER BY score DESC, doc_id LIMIT 500),
-    second AS (SELECT doc_id, text, rank, round(len(list_intersect(list_distinct(w), {QUESTION})) / {len(QUESTION)}, 6) AS reranker FROM first),
-    best AS (SELECT doc_id, text, reranker, row_number() OVER (ORDER BY reranker DESC, rank) AS rnk FROM second)
-"""
-_PHRASES = f"""
-    t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
-    p AS (SELECT doc_id, n AS words, array_to_string(t[i : i + n - 1], ' ') AS phrase
-          FROM (SELECT doc_id, t, n, unnest(generate_series(1, len(t) - n + 1)) AS i FROM t, (SELECT unnest([1, 2, 3]) AS n))),
-    ph AS (SELECT * FROM p WHERE length(replace(phrase, ' ', '')) >= 3),
-    sc AS (SELECT doc_id, phrase, count(*) + 0.25 * (words - 1) AS score FROM ph GROUP BY doc_id, phrase, words)
-"""
-_USER = """
-    u AS (SELECT conv_id, count(*) AS n_user, arg_max(text, turn) AS request FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
-    pr AS (SELECT conv_id, n_user, CASE WHEN n_user <= 1 THEN 1 ELSE 2 END AS template,
-                  CASE WHEN n_user <= 1 THEN 'First question: ' ELSE 'Next question: ' END || request AS prompt FROM u)
-"""
-_SPANS = " UNION ALL ".join(
-    f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS span FROM documents".replace("\n", "\\n") for p in keywords.QUOTES + keywords.EMPHASIS
-)
-
-ORACLE_SQL = {
-    "knn_top50": f"SELECT * FROM {_NEAR.format(0)}",
-    "result_overlap": f"SELECT vec_id FROM {_NEAR.format(0)} INTERSECT SELECT vec_id FROM {_NEAR.format(10)}",
-    "pairwise_distance": """
-        SELECT a.vec_id AS a, b.vec_id AS b, round(1 - greatest(-1.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS distance, round(1 - distance, 6) AS similarity
-        FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-    """,
-    "token_estimate": f"SELECT doc_id, {_COUNT.format('text')}::INT AS approx_tokens FROM documents",
-    "line_blocks": f"WITH {_LINES} SELECT doc_id, line_no, n_tokens FROM lines",
-    "keywords_top5": f"""
-        WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
-        e AS (SELECT doc_id, t[i] AS token, i FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM t)),
-        c AS (SELECT doc_id, token, count(*) AS n, min(i) AS first FROM e GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM c)
-        SELECT doc_id, string_agg(token, '|' ORDER BY r) AS keywords FROM r WHERE r <= 5 GROUP BY doc_id
-    """,
-    "heading_context": f"""
-        WITH {_OUTLINE}, g AS (
-            SELECT source, line_no, last_value(CASE WHEN k = 1 THEN source END IGNORE NULLS) OVER w AS h1,
-                   last_value(CASE WHEN k = 2 THEN lang END IGNORE NULLS) OVER w AS h2,
-                   CASE WHEN k > 2 THEN 'doc ' || doc_id END AS h3
-            FROM l WINDOW w AS (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-        SELECT *, concat_ws('; ', h1, h2, h3) AS full_headings FROM g
-    """,
-    "heading_numbers": f"""
-        WITH {_OUTLINE}, n AS (
-            SELECT source, line_no, k, sum((k = 2)::INT) OVER (PARTITION BY source ORDER BY line_no) AS n2,
-                   sum((k = 3)::INT) OVER (PARTITION BY source, lang ORDER BY line_no) AS n3
-            FROM l WHERE k < 4)
-        SELECT source, line_no, '1' || CASE WHEN k > 1 THEN '.' || n2::INT ELSE '' END || CASE WHEN k > 2 THEN '.' || n3::INT ELSE '' END AS numbering FROM n
-    """,
-    "section_pack": f"""
-        WITH RECURSIVE {_LINES}, f AS (
-            SELECT doc_id, line_no, 1 AS chunk_no, n_tokens AS tok FROM lines WHERE line_no = 1
-            UNION ALL
-            SELECT l.doc_id, l.line_no, CASE WHEN f.tok + l.n_tokens > 200 THEN f.chunk_no + 1 ELSE f.chunk_no END,
-                   CASE WHEN f.tok + l.n_tokens > 200 THEN l.n_tokens ELSE f.tok + l.n_tokens END
-            FROM f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no = f.line_no + 1)
-        SELECT doc_id, chunk_no, max(tok)::INT AS approx_tokens, count(*)::INT AS n_lines FROM f GROUP BY doc_id, chunk_no
-    """,
-    "md_table_text": """
-        SELECT r_name AS region, 'TABLE:' || chr(10) || string_agg('key: ' || n_nationkey || CASE WHEN n_name <> '' THEN '; name: ' || n_name ELSE '' END, chr(10) ORDER BY n_nationkey) AS text
-        FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
-    """,
-    "add_title": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END || chr(10) || chr(10) || text AS text FROM documents",
-    "corpus_info": "SELECT source AS file, count(*) AS n FROM documents GROUP BY source",
-    "corpus_purge": "SELECT source AS file, count(*) AS n FROM documents WHERE source NOT LIKE 'src1_' GROUP BY source",
-    "bm25_top50": f"WITH {_BM25} SELECT doc_id, score FROM hits ORDER BY score DESC, doc_id LIMIT 50",
-    "two_stage_rerank": f"WITH {_RERANK} SELECT doc_id, reranker, rnk FROM best WHERE rnk <= 50",
-    "prompt_context": f"""
-        WITH {_RERANK} SELECT 'Context:' || chr(10) || string_agg('[[CHUNK (ID: "' || doc_id || '")' || chr(10) || 'Texte:' || chr(10) || text || chr(10) || ']]' || chr(10) || chr(10), '' ORDER BY rnk)
-            || 'Voici les questions :' || chr(10) || '{" ".join(QUESTION)}' AS prompt FROM best WHERE rnk <= 10
-    """,
-    "embed_cache_key": f"SELECT doc_id, sha256('{MODEL}' || chr(10) || '{VERSION}' || chr(10) || text) AS k FROM documents",
-    "embed_cache_miss": """
-        SELECT count(*) AS n_miss, count(DISTINCT text) AS n_distinct_miss FROM documents
-        WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
-    """,
-    "vocab_docfreq": f"WITH {_PHRASES} SELECT phrase, count(DISTINCT doc_id) AS df FROM ph GROUP BY phrase",
-    "vocab_specificity": f"WITH {_PHRASES} SELECT phrase, max(score)::DOUBLE AS score FROM sc GROUP BY phrase",
-    "phrases_per_doc": f"""
-        WITH {_PHRASES}, r AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(phrase) DESC, phrase) AS rnk FROM sc)
-        SELECT doc_id, rnk, phrase FROM r WHERE rnk <= 8
-    """,
-    "quoted_spans": _SPANS,
-    "keyword_list_parse": """
-        WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part),
-        e AS (SELECT p_partkey, i, a[i] AS keyword FROM (SELECT p_partkey, a, unnest(generate_series(1, len(a))) AS i FROM w)),
-        d AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, lower(keyword) ORDER BY i) AS nth FROM e WHERE keyword <> '')
-        SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS pos, keyword FROM d WHERE nth = 1 QUALIFY pos <= 20
-    """,
-    "projector_labels": "SELECT doc_id, CASE WHEN text ILIKE '%the%' THEN 'the' ELSE 'autre' END AS label FROM documents",
-    "image_text": """
-        SELECT doc_id, 'before <IMAGE DESCRIPTION START>pas de description<IMAGE DESCRIPTION END> ' || lang
-            || ' <IMAGE DESCRIPTION START>pas de description<IMAGE DESCRIPTION END> ' || source AS text FROM documents
-    """,
-    "chat_last_user": f"WITH {_USER} SELECT * FROM pr",
-    "chat_history": f"""
-        WITH {_USER}, k AS (
-            SELECT c.conv_id, turn, role, CASE WHEN turn = max(turn) FILTER (role = 'user' AND text IS NOT NULL) OVER (PARTITION BY c.conv_id) THEN coalesce(prompt, text) ELSE text END AS content
-            FROM conversations c LEFT JOIN pr ON pr.conv_id = c.conv_id WHERE role IN ('user', 'assistant')),
-        a AS (SELECT DISTINCT conv_id, -1 AS turn, 'system' AS role, 'Answer from the context.' AS content FROM k UNION ALL SELECT * FROM k)
-        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos, role, content FROM a
-    """,
-    "chat_slash": "SELECT conv_id, turn, 'set' AS cmd, 'name' || conv_id AS arg1, 'v' || turn AS arg2 FROM conversations WHERE turn % 2 = 0",
-    "stream_fold": "SELECT conv_id, turn, text AS answer, true AS done FROM conversations WHERE text IS NOT NULL",
-}
