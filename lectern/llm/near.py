@@ -14,7 +14,8 @@ common, so of each one's words, rarest first, one among the first n - ceil(thres
 both, and no near copy is missed.  All that share one are first aligned with its least member, a pair
 each; then, wherever members still lie in different components, every such pair is aligned too,
 unless lengths or word counts rule it out, which bound the edit distance from below.  So large
-groups of copies cost one alignment per member and sketch, and no candidate is dropped.
+groups of copies cost one alignment per member and sketch, and no candidate is dropped.  A key that
+many share is cut into blocks, and pairs of blocks are compared side by side.
 """
 
 from __future__ import annotations
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import fingerprint, one_of_each, picked, written
 from .kernel import Words, as_string, list_array, mix, shingles, slices
+from .spans import sieve
 
 K, ELL, SKETCHES, THRESHOLD = 3, 2, 48, 0.75
 #: Most words of the texts whose candidates are exact.
 SHORT = 32
 #: Of a row's runs so many are looked at first when its least are sought; which are found doesn't depend on it.
 _LIKELY = 16
+#: Members of a key that are compared with each other, or with so many others, in one group of rows.
+BLOCK = 2_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -289,55 +293,111 @@ def _possible(counts: np.ndarray, words: np.ndarray, i: int, threshold: float) -
     return np.concatenate(out) + i + 1
 
 
-def _paired(table: pa.Table, stars: bool, threshold: float) -> pa.Table:
-    """The pairs of nodes that share a key and may be near copies; stars: those with the key's least node."""
-    table = table.sort_by([("key", "ascending"), ("node", "ascending")])
-    key, node, words = (table[c].to_numpy() for c in ("key", "node", "words"))
+def _near_first(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of which a is the key's first, whose lengths and word counts allow them to be near copies."""
+    for batch in batches:
+        words = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "f_words")]
+        counts = [np.frombuffer(batch.column(c).cast(pa.binary(256)).buffers()[1], np.uint8)[batch.column(c).offset * 256 :][: len(batch) * 256].reshape(-1, 256) for c in ("counts", "f_counts")]
+        longer = np.maximum(*words)
+        most = ((1 - threshold) * longer + 1e-9).astype(np.int64)
+        good = longer - np.minimum(*words) <= most
+        for part in np.array_split(np.flatnonzero(good), len(batch) // 4096 + 1):
+            x, y = counts[0][part], counts[1][part]
+            apart = np.maximum(x, y).sum(axis=1, dtype=np.int64) - np.minimum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
+            good[part] = apart <= most[part]
+        yield batch.select(["a", "b"]).filter(pa.array(good))
+
+
+def _paired(table: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of nodes of different labels in the same cells that may be near copies.
+
+    Rows are (key, i, j, side, node, words, counts, label); a cell (key, i, j) pairs the members of
+    block i with those of block j, or a block's with each other.
+    """
+    table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+    key, one, two, side, node, words, label = (table[c].to_numpy() for c in ("key", "i", "j", "side", "node", "words", "label"))
     counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.uint8).reshape(-1, 256)
-    label = None if stars else table["label"].to_numpy()
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    cut = np.flatnonzero(new)
     for a, b in zip(cut, np.append(cut[1:], len(key))):
-        for i in range(1 if stars else b - a - 1):
+        for i in range(b - a - 1):
             j = _possible(counts[a:b], words[a:b], i, threshold)
-            if label is not None:
-                j = j[label[a + j] != label[a + i]]
+            j = j[label[a + j] != label[a + i]]
+            if one[a] != two[a]:
+                j = j[side[a + j] != side[a + i]]
             left.append(np.full(len(j), node[a + i]))
             right.append(node[a + j])
     return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)}).group_by(["a", "b"]).aggregate([])
 
 
+def cells(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (key, n, node, ...) with i, j and side: a row for each cell that a member's block is in.
+
+    A key of n members has ceil(n / block) blocks; every pair of members is in one cell, and no cell
+    has more than two blocks' members.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("own", own)
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return m.select(*members.columns, low.alias("i"), high.alias("j"), (F.col("own") == low).cast("int").alias("side"))
+
+
 def _pairs(info: DataFrame, threshold: float) -> Callable[[DataFrame, bool], DataFrame]:
-    """Pairs for ``clusters`` from ``info`` (node, words, counts), found side by side in chunks of keys."""
+    """Pairs for ``clusters`` from ``info`` (node, words, counts)."""
 
     def pairs(members: DataFrame, stars: bool) -> DataFrame:
-        chunks = max(1, -(-members.count() // 20_000))
-        rows = members.join(info, "node").withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
-        return rows.groupBy("chunk").applyInArrow(lambda t: _paired(t, stars, threshold), "a long, b long")
+        if stars:
+            first = info.select(F.col("node").alias("first"), F.col("words").alias("f_words"), F.col("counts").alias("f_counts"))
+            rows = members.where("node <> first").select("first", "node").distinct().join(info, "node").join(first, "first")
+            rows = rows.select(F.col("first").alias("a"), F.col("node").alias("b"), "words", "f_words", "counts", "f_counts")
+            return rows.mapInArrow(lambda it: _near_first(it, threshold), "a long, b long")
+        rows = cells(members, BLOCK)
+        chunks = max(1, -(-rows.count() // 20_000))
+        rows = rows.join(info, "node").withColumn("chunk", F.pmod(F.xxhash64("key", "i", "j"), F.lit(chunks)))
+        return rows.groupBy("chunk").applyInArrow(lambda t: _paired(t, threshold), "a long, b long")
 
     return pairs
 
 
+def shared(rows: DataFrame, key: str, name: str, **also: Column) -> DataFrame:
+    """The rows whose ``key``, a long, others have too, with ``many``, how many have it, and what ``also`` aggregates.
+
+    Counts are combined before they are shuffled, and a filter of bounded size keeps rows whose key
+    stands alone from the join, so that no key, however many have it, goes through a single task.
+    """
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("many"), *(c.alias(a) for a, c in also.items())).where("many > 1"), f"{name}-shared")
+    again = sieve(counts.select(key))
+
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(again(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return rows.where(F.arrow_udf(may, "boolean")(key)).join(counts.hint("merge"), key)
+
+
 def clusters(keys: DataFrame, pairs: Callable[[DataFrame, bool], DataFrame], confirmed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """(node, label) of the nodes that some confirmed pair joins to others; the label is the component's least node.
 
     ``keys`` are (key, node); nodes that share a key are candidates.  ``pairs(members, stars)``
-    gives (a, b), all pairs of a key's members that may be confirmed: with stars, those of its
-    least node and the others, else those with different labels.  ``confirmed`` keeps those that
+    gives (a, b), all pairs of a key's members that may be confirmed: with stars, from (key, node,
+    first), those of its least node and the others, else, from (key, node, label, n), those of the
+    n others that have different labels.  ``confirmed`` keeps those that
     are alike.  The components are those of all confirmed candidates: pairs are left out only
     within what is one component already.
     """
-    by_key = "PARTITION BY key"
-    members = keys.select("key", "node", F.expr(f"count(*) OVER ({by_key})").alias("many")).where("many > 1").select("key", "node")
-    members = written(members, f"{name}-members")
+    members = written(shared(keys, "key", name, first=F.min("node")).select("key", "node", "first"), f"{name}-members")
     # distinct: one pair may share many keys
     edges = written(confirmed(written(pairs(members, True).distinct(), f"{name}-stars")), f"{name}-edges")
     label = components(edges, f"{name}-first")
     # What a key's first member has not joined
     of = label.select(F.col("node").alias("of"), "label")
-    at = members.join(of, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    at = at.select("*", *(F.expr(f"{f} OVER ({by_key})").alias(c) for f, c in (("min(label)", "low"), ("max(label)", "high"), ("min(node)", "first"))))
-    at = written(at.where("low <> high AND node <> first").select("key", "node", "label"), f"{name}-rest")
+    at = members.where("node <> first").select("key", "node").join(of, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    at = written(at, f"{name}-labelled")
+    several = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    at = written(at.join(several, "key"), f"{name}-rest")
     more = written(confirmed(written(pairs(at, False).distinct(), f"{name}-more")), f"{name}-edges")
     return label if more.isEmpty() else components(edges.unionByName(more), f"{name}-last")
 
@@ -348,7 +408,7 @@ def _short_keys(nodes: DataFrame, threshold: float) -> DataFrame:
     # a text without room for an edit is near to itself alone
     room = F.floor((1 - threshold) * F.floor(n / threshold + 1e-9) + 1e-9) > 0
     each = nodes.where(room).select(F.col("number").alias("node"), "words", F.explode("short").alias("word"))
-    each = each.select("*", F.expr("count(*) OVER (PARTITION BY word)").alias("many")).where("many > 1")
+    each = shared(each, "word", "short")
     order = "PARTITION BY node ORDER BY many, word"
     each = each.select("*", F.expr(f"row_number() OVER ({order})").alias("nth"), F.expr("count(*) OVER (PARTITION BY node)").alias("shared"))
     # those that no other text has come before all of these
@@ -391,7 +451,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, ell:
     # distinct word sequences are numbered: numbers move in fewer bytes
     nodes = with_words.select("node", "words", "seq", "counts", "sketch", "short").dropDuplicates(["node"])
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("number"), "*"), "near-nodes")
-    keys = nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), F.col("number").alias("node")).unionByName(_short_keys(nodes, threshold))
+    keys = nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), F.col("number").alias("node")).unionByName(written(_short_keys(nodes, threshold), "near-short"))
     numbered = nodes.select(F.col("number").alias("node"), "words", "seq", "counts")
     label = clusters(keys, _pairs(numbered.drop("seq"), threshold), lambda pairs: _aligned(pairs, numbered, threshold), "near")
     label = named(label, nodes.select("number", F.col("node").alias("name")))

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import fingerprint, picked, written
 from .kernel import Words, as_string, list_array, mix, slices, word_hash
-from .near import clusters, copies, named, sequences, winners
+from .near import cells, clusters, copies, named, sequences, shared, winners
 
 CHAIN, THRESHOLD = 3, 0.5
 #: A set with any spot at all is compared.
 LEAST = 1
+#: Members of a key in a block; a key's blocks are paired side by side.
+BLOCK = 1_000
 
 ANCHORS = "the is was that have le est que dans der ist das und el es los para".split()
 STOPWORDS = frozenset(
@@ -112,7 +114,7 @@ def partition(n: int, threshold: float) -> int:
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(key, node) for ``clusters``: the spots of each set's prefix, in its own and the next partition."""
     each = sets.select("node", "n", F.explode("spots").alias("spot"))
-    each = each.select("*", F.expr("count(*) OVER (PARTITION BY spot)").alias("many")).where("many > 1")
+    each = shared(each, "spot", "spots")
     order = "PARTITION BY node ORDER BY many, spot"
     each = each.select("*", F.expr(f"row_number() OVER ({order})").alias("nth"), F.expr("count(*) OVER (PARTITION BY node)").alias("shared"))
     # those that no other set has come before all of these
@@ -127,13 +129,15 @@ def _pairs(info: DataFrame, threshold: float) -> Callable[[DataFrame, bool], Dat
     fits = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
 
     def pairs(members: DataFrame, stars: bool) -> DataFrame:
-        rows = members.join(info, "node")
         if stars:
-            rows = rows.select("*", F.expr("min(struct(node, n)) OVER (PARTITION BY key)").alias("first"))
-            return rows.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n", F.col("first.n").alias("m")).where((F.col("a") != F.col("b")) & fits).select("a", "b")
-        one = rows.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), "n")
-        two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("m"))
-        return one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & fits).select("a", "b")
+            first = info.select(F.col("node").alias("first"), F.col("n").alias("m"))
+            rows = members.where("node <> first").select("first", "node").distinct().join(info, "node").join(first, "first")
+            return rows.where(fits).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        rows = cells(members, BLOCK).drop("n").join(info, "node")
+        one = rows.select("key", "i", "j", "side", F.col("node").alias("a"), F.col("label").alias("a_label"), "n")
+        two = rows.select("key", "i", "j", F.col("side").alias("b_side"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("m"))
+        across = (F.col("i") == F.col("j")) | (F.col("side") != F.col("b_side"))
+        return one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & across & fits).select("a", "b")
 
     return pairs
 

@@ -74,7 +74,9 @@ def test_sketches_are_the_least_labelled_runs_in_text_order():
         near._LIKELY = wide
 
 
-def test_near_groups_against_brute_force(spark):
+@pytest.mark.parametrize("block", [near.BLOCK, 2])
+def test_near_groups_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kept_doc_id for r in near.near_duplicates(docs).collect()}
@@ -85,7 +87,9 @@ def test_near_groups_against_brute_force(spark):
     assert len(got) >= 0.9 * len(want) and want
 
 
-def test_spot_groups_against_brute_force(spark):
+@pytest.mark.parametrize("block", [spots.BLOCK, 2])
+def test_spot_groups_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spots, "BLOCK", block)
     rows = corpus(9)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kept_doc_id for r in spots.spot_duplicates(docs).collect()}
@@ -158,3 +162,24 @@ def test_near_copies_of_a_quarter_edited_are_caught(spark):
         got = {tuple(x) for x in near.near_duplicates(docs).collect()}
         want = {(i + 1, i) for i in range(0, len(rows), 2)}
         assert got <= want and len(got) >= least * len(want)
+
+
+def test_cells_hold_every_pair_once(spark):
+    members = spark.range(50).selectExpr("1L AS key", "id AS node", "50L AS n").union(spark.range(3).selectExpr("2L", "id + 100", "3L"))
+    cells = {}
+    for r in near.cells(members, 8).collect():
+        cells.setdefault((r.key, r.i, r.j), []).append((r.node, r.side))
+    pairs = [(k[0], *sorted((x, y))) for k, c in cells.items() for (x, p), (y, q) in itertools.combinations(c, 2) if k[1] == k[2] or p != q]
+    assert len(pairs) == len({*pairs}) == 50 * 49 // 2 + 3 and max(map(len, cells.values())) < 40
+
+
+def test_a_hot_key_of_unlike_texts(spark):
+    """Texts that share their rarest words and little else: one key holds them all, and only true copies are found."""
+    r = random.Random(6)
+    rows = [(i, "zeta eta theta " + " ".join(f"w{r.randrange(40)}" for _ in range(9))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.kept_doc_id for x in near.near_duplicates(docs).collect()}
+    seqs = {i: t.split() for i, t in rows}
+    alike = [(a, b) for a, b in itertools.combinations(seqs, 2) if len({*seqs[a]} & {*seqs[b]}) >= 7 and distance(seqs[a], seqs[b]) <= 3]
+    assert got == {i: g for i, g in grouped(alike, seqs).items() if g != i} and len(got) >= 20
