@@ -127,14 +127,14 @@ def stored(chunks: DataFrame) -> DataFrame:
         return F.when(F.coalesce(*each).isNotNull(), F.struct(*(e.alias(f"h{k}") for k, e in enumerate(each, 1))))
 
     def field(f: StructField) -> Column:
+        if f.name == "keywords":
+            return F.coalesce(*([F.col(f.name)] if f.name in have else []), F.expr("cast(array() as array<string>)")).alias(f.name)
         if f.name not in have:
             return F.lit(None).cast(f.dataType).alias(f.name)
         if f.name in ("headings", "heading"):
             return titles(f.name).cast(f.dataType).alias(f.name)
         if f.name == "full_headings":
             return F.nullif(F.col(f.name), F.lit("")).alias(f.name)
-        if f.name == "keywords":
-            return F.coalesce(F.col(f.name), F.expr("cast(array() as array<string>)")).alias(f.name)
         return F.col(f.name).try_cast(f.dataType).alias(f.name)
 
     out = chunks.select(*map(field, SCHEMA.fields))

@@ -90,10 +90,16 @@ def planes(width: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(tables * bits, width))
 
 
-def signatures(vectors: DataFrame, width: int, bits: int = 8, tables: int = 12, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, embedding, bucket): an approximate index by random hyperplanes, a row for each table.
+#: Bits of a bucket, tables, and doubtful bits tried both ways.  On unit vectors with no structure at
+#: all, the hardest case, these find over nine of the ten nearest while comparing about half of the rows.
+BITS, TABLES, FLIPS = 10, 40, 4
 
-    Every row is indexed; write it partitioned or clustered by ``bucket`` to read few of it.
+
+def signatures(vectors: DataFrame, width: int, bits: int = BITS, tables: int = TABLES, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, bucket): an approximate index by random hyperplanes, a row for each vector and table.
+
+    Every vector of that width is indexed; nothing is fitted.  Write it clustered by ``bucket``, so
+    that a question reads few of its files.
     """
     p = planes(width, bits, tables).T
 
@@ -103,11 +109,11 @@ def signatures(vectors: DataFrame, width: int, bits: int = 8, tables: int = 12,
         bounds = np.concatenate([[0], np.cumsum(np.where(good, tables, 0))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(code[good].ravel().astype(np.int32)))
 
-    return vectors.select(id, embedding, F.explode(F.arrow_udf(sign, "array<int>")(embedding)).alias("bucket"))
+    return vectors.select(id, F.explode(F.arrow_udf(sign, "array<int>")(embedding)).alias("bucket"))
 
 
-def approximate(index: DataFrame, query: Sequence[float], k: int, bits: int = 8, tables: int = 12, flips: int = 2, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``nearest`` among the rows of an index of ``signatures`` whose bucket is the query's, or differs in the ``flips`` least sure bits."""
+def approximate(vectors: DataFrame, index: DataFrame, query: Sequence[float], k: int, bits: int = BITS, tables: int = TABLES, flips: int = FLIPS, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """``nearest`` among the vectors that share a bucket of ``signatures`` with the query, also with its ``flips`` least sure bits turned."""
     q = np.array(query, np.float64)
     side = (planes(len(q), bits, tables) @ unit(q[None])[0]).reshape(tables, bits)
     buckets = set()
@@ -117,8 +123,8 @@ def approximate(index: DataFrame, query: Sequence[float], k: int, bits: int = 8,
         for pick in range(1 << len(doubtful)):
             flip = sum(1 << int(doubtful[j]) for j in range(len(doubtful)) if pick >> j & 1)
             buckets.add((t << bits) + (code ^ flip))
-    near = index.where(F.col("bucket").isin(sorted(buckets))).dropDuplicates([id])
-    return nearest(near, query, k, id, embedding)
+    near = index.where(F.col("bucket").isin(sorted(buckets))).select(id).distinct()
+    return nearest(vectors.join(near, id, "left_semi"), query, k, id, embedding)
 
 
 def re_terms(question: str) -> list[str]:

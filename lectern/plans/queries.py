@@ -44,7 +44,7 @@ def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest by the index of all vectors."""
     vectors = table(spark, d, "embeddings")
     query = _vector(vectors, 0)
-    return retrieval.approximate(retrieval.signatures(vectors, len(query)), query, 10)
+    return retrieval.approximate(vectors, retrieval.signatures(vectors, len(query)), query, 10)
 
 
 def result_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -42,11 +42,12 @@ def folded(state: tuple[str, str, bool, bool], line: str, paths: tuple[str, ...]
     return answer + piece, thinking, called, done
 
 
-def streamed_answers(events: DataFrame, keys: list[str], order: str = "seq", paths: tuple[str, ...] = CLIENT, patience: str = "10 minutes") -> DataFrame:
+def streamed_answers(events: DataFrame, keys: list[str], order: str = "seq", paths: tuple[str, ...] = CLIENT, patience: int | None = 600) -> DataFrame:
     """(keys, answer, thinking, done) for each stream of a streaming ``events`` (keys, order, event), once it ends.
 
-    A stream without an event for ``patience`` of processing time is ended as it is, with done
-    false, and its state is dropped.  Events of one micro-batch are taken in ``order``.
+    A stream without an event for ``patience`` seconds of processing time is ended as it is, with done
+    false, and its state is dropped; with None such states stay, and a query over what is there can end.
+    Events of one micro-batch are taken in ``order``.
     """
     kinds = {k: events.schema[k].dataType.simpleString() for k in keys}
     schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), _STATE.replace("called boolean, ", "")])
@@ -64,8 +65,9 @@ def streamed_answers(events: DataFrame, keys: list[str], order: str = "seq", pat
             yield pd.DataFrame([[*key, answer, thinking, done]], columns=[*keys, "answer", "thinking", "done"])
         else:
             state.update(now)
-            state.setTimeoutDuration(patience)
-            return
+            if patience is not None:
+                state.setTimeoutDuration(patience * 1000)
 
     slim = events.select(*keys, F.col(order).alias("o"), "event")
-    return slim.groupBy(*keys).applyInPandasWithState(fold, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout
+    return slim.groupBy(*keys).applyInPandasWithState(fold, schema, _STATE, "append", timeout)

@@ -28,15 +28,14 @@ def odd(spark):
 
 @pytest.mark.parametrize("seed", range(8))
 def test_chunks_of_random_markdown_keep_every_line(seed):
-    """Without compat every line with text is in one chunk, in order; sections and budgets hold."""
+    """Without compat every word of a line that is no heading is in one chunk, in order."""
     r = random.Random(seed)
-    kinds = ["# h", "## i", "plain words here", "", "  ", "- item", "  more", "1. one", "| a | b |", "| --- | --- |", "| 1 | 2 |", "<table><tr>", "</table>", markdown.OPEN + "d", "e" + markdown.SHUT, "tail"]
+    kinds = ["# h", "## i", "plain words here", "", "  ", "- item", "  more", "1. one", markdown.OPEN + "d" + markdown.SHUT, "last | one"]
     lines = [r.choice(kinds) for _ in range(r.randint(0, 120))]
-    found = [*markdown.chunks("\n".join(lines), 6, compat=False)]
-    words = [w for _, t, _ in found for w in t.replace("TABLE:", "").replace("a:", "").replace("b:", "").replace(";", "").replace("|", "").split()]
-    want = [w for x in lines if not x.startswith("#") for w in x.replace("|", "").replace("---", "").split()]
-    assert sorted(w for w in words if w not in ("a", "b")) == sorted(w for w in want if w not in ("a", "b")) or any("| --- |" in x for x in lines)
-    assert all(n == len(t.split()) for _, t, n in found)
+    for budget in (1, 6, 200):
+        found = [*markdown.chunks("\n".join(lines), budget, compat=False)]
+        assert [w for _, t, _ in found for w in t.split()] == [w for x in lines if not x.startswith("#") for w in x.split()]
+        assert all(n == len(t.split()) for _, t, n in found)
 
 
 def test_greedy_ends_against_the_step_by_step_rule():
@@ -60,11 +59,9 @@ def test_markdown_of_pages_says_what_the_pages_say(spark):
         plain = html.re.sub(r"<script.*?</script>|</?(?!!)[a-zA-Z][^>]*>|<!--|-->", " ", body)
         import html as entities
 
-        want = entities.unescape(plain).split()
-        marks = html.re.sub(r"\]\([^)]*\)|[*`\[\]]|^#+ [\d.]+|^\d+\. |^- ", " ", html.markdown(page), flags=html.re.M)
-        squash = lambda words: "".join("".join(words).replace("-", "").split())
-        a, b = squash(want), squash(marks.split())
-        assert abs(len(a) - len(b)) <= 0.05 * len(a) + 20 and a[:40].replace("*", "") == b[:40]
+        letters = lambda t: [c for c in t if c.isalpha()]
+        marks = html.re.sub(r"\]\([^)]*\)", "]", html.markdown(page))
+        assert letters(entities.unescape(plain)) == letters(marks)
 
 
 def test_trees_and_renderers_take_anything():
@@ -144,7 +141,7 @@ def test_vocabulary_order_and_odd_rows(spark):
     assert [r.phrase for r in keywords.vocabulary(docs).collect()] == ["alpha", "alpha beta", "beta"]
     assert [r.phrase for r in keywords.vocabulary(docs, "specificity").collect()] == ["alpha beta", "alpha", "beta"]
     assert keywords.key_phrases(docs.limit(0)).count() == 0 and keywords.document_frequency(docs.limit(0)).count() == 0
-    assert keywords.key_phrases(odd(spark)).where("doc_id = 3").count() == 3
+    assert keywords.key_phrases(odd(spark)).where("doc_id = 3").count() == 6
 
 
 def test_nearest_against_brute_force(spark):
@@ -170,7 +167,7 @@ def test_the_approximate_index_finds_nine_of_ten(spark):
     hit = total = 0
     for q in vectors.where("vec_id % 50 = 0").collect():
         exact = {r.vec_id for r in retrieval.nearest(vectors, q.embedding, 10).collect()}
-        near = {r.vec_id for r in retrieval.approximate(index, q.embedding, 10).collect()}
+        near = {r.vec_id for r in retrieval.approximate(vectors, index, q.embedding, 10).collect()}
         hit, total = hit + len(exact & near), total + 10
     assert hit >= 0.9 * total, hit / total
 
@@ -283,8 +280,12 @@ def test_streaming_fold_equals_the_batch_one(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/events")
     want = {(r.conv_id, r.turn): r.answer for r in chat.answers(events, ["conv_id", "turn"]).where("done").collect()}
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
-    query = streamed_answers(stream, ["conv_id", "turn"]).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    out = streamed_answers(stream, ["conv_id", "turn"], patience=None).writeStream.format("memory").queryName("folded").outputMode("append")
+    query = out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
     assert {(r.conv_id, r.turn): r.answer for r in spark.table("folded").collect()} == want and want
 
 
