@@ -6,6 +6,8 @@ import pytest
 from lectern.llm import quality, toxicity
 
 DATA = os.environ.get("LECTERN_TEST_DATA", "/root/testdata/sf0.01")
+#: Some hundreds of toxic labels are needed to learn from a part and judge by the rest.
+LARGER = "/root/testdata/sf0.1"
 ODD = [(1, "plain text of words. " * 10, 1), (1, "plain text of words. " * 10, 2), (2, None, 3), (None, "", 4), (3, "word " * 30_000, 5)]
 
 
@@ -29,6 +31,61 @@ def test_toxicity_on_labels(spark):
     assert np.mean(hit) > 0.6 and np.mean(false) < 0.05
 
 
+def plain_features(text, learnt, stems):
+    """The features of an ASCII text, from their definitions, a word at a time."""
+    import re
+
+    words = [(m[0], m.start()) for m in re.finditer("[0-9A-Za-z]+", text)]
+    low = [w.lower() for w, _ in words]
+    n, many, t = max(len(words), 1), len(words), toxicity
+    leet = str.maketrans("013457$@!|", "oieastsail")
+    seed, know = [w in t.SEEDS for w in low], [w in learnt for w in low]
+    begin = [any(len(w) > k and w[:k] in stems for k in t.STEMS) for w in low]
+    second = [w in t.SECOND_PERSON for w in low]
+    near = [any(second[max(0, i - t.NEAR) : i + t.NEAR + 1]) for i in range(many)]
+    hit = [a or b or c for a, b, c in zip(seed, know, begin)]
+    letters = max(sum(c.isalpha() for c in text), 1)
+    hidden = sum(w in t.SEEDS or w in learnt for w in re.findall("[0-9A-Za-z]+", text.lower().translate(leet))) - sum(a or b for a, b in zip(seed, know))
+    rate = lambda v: sum(map(bool, v)) / n
+    log = lambda v: np.log1p(sum(map(bool, v)))
+    return [
+        rate(seed), log(seed), rate(know), log(know), rate(begin), log(begin), rate(a and b for a, b in zip(hit, near)), rate(second),
+        sum(c.isupper() for c in text) / letters, rate(len(w) > 2 and w.isupper() and w.isalpha() for w, _ in words), sum(c in "!?" for c in text) / n,
+        sum(c in "#$%&*+/<=>@\\^_|~()[]{};:\"" for c in text) / max(len(text), 1), rate(any(c.isdigit() for c in w) and not w.isdigit() for w, _ in words),
+        rate(re.search(r"([a-zA-Z])\1\1", w.lower()) for w, _ in words), max(hidden, 0) / n, np.log1p(many),
+    ]
+
+
+def test_features_against_a_plain_loop():
+    import random
+
+    r = random.Random(8)
+    bits = ["you", "are", "an", "idiot", "1d10t", "STUPID", "stuuuupid", "loser!", "word", "other", "your", "##", "a1", "123", "Trash?", "($)", "l0ser", "grumblings", "\n"]
+    texts = ["", "!", "you"] + [" ".join(r.choice(bits) for _ in range(r.randint(1, 60))) for _ in range(80)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    from lectern.llm.kernel import word_hash
+
+    learnt = np.sort(np.array([word_hash("word")], np.uint64))
+    stems = np.sort(np.array([word_hash("grumb") ^ 5], np.uint64))
+    got = toxicity.features(data, rows, learnt, stems)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], plain_features(t, {"word"}, {"grumb"})), (t, dict(zip(toxicity.NAMES, got[i])), plain_features(t, {"word"}, {"grumb"}))
+
+
+def test_toxicity_on_documents_that_it_has_not_seen(spark):
+    if not os.path.isdir(LARGER):
+        pytest.skip(f"no tables in {LARGER}")
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where("pmod(xxhash64(doc_id), 3) > 0"))
+    rest = labels.where("pmod(xxhash64(doc_id), 3) = 0").withColumnRenamed("doc_id", "l_id")
+    found = toxicity.scored(docs.join(rest, docs.doc_id == rest.l_id), model).select("probability", "c7").toPandas()
+    hit = found.probability[found.c7 == 1] >= toxicity.THRESHOLD
+    false = found.probability[found.c7 == 0] >= toxicity.THRESHOLD
+    print("held out", len(hit), hit.mean(), len(false), false.mean())
+    assert hit.mean() > 0.6 and false.mean() < 0.05
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, None), (3, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity(odd(spark), labels).collect()
@@ -36,6 +93,9 @@ def test_toxicity_of_odd_rows(spark):
     assert not any(r.toxic for r in out if r.doc_id == 2)
     kept = toxicity.without_toxic(odd(spark), labels.limit(0))
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == len(ODD)
+    clash = odd(spark).selectExpr("doc_id", "text", "score AS probability", "score AS toxic", "score AS c0")
+    out = toxicity.without_toxic(clash, labels)
+    assert out.columns == clash.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in clash.collect()}
     assert toxicity.toxicity(odd(spark).limit(0), labels).count() == 0
 
 
