@@ -21,27 +21,33 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't toxic."""
+    """The documents that aren't toxic; null texts stay, equal texts fare alike, and so do very long ones."""
     return without_toxic(docs, _labels(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts; labelled documents are the history and win."""
+    """One of each group of equal texts; labelled documents are the history and win.
+
+    Null texts all stay; empty ones are equal to each other.  Of equal rows one stays.
+    """
     return exact_dedup(docs, _labels(spark, sf_dir))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies."""
+    """One of each group of near copies, that of the least id, null ids last; null texts all stay."""
     return near_dedup(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked; null and empty texts stay as they are, and so do repeats."""
     return without_private(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The windows, in which sources have their shares of the tokens."""
+    """The windows, in which sources have shares by the square roots of their tokens.
+
+    Null and empty texts are their end id alone; a null source is a source; no documents, no windows.
+    """
     return pack(docs)
 
 
@@ -58,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written as Parquet and reread as the next one's input."""
+    """All stages over the documents, which may have columns of any names besides; each is written as Parquet and reread as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
