@@ -247,10 +247,11 @@ class Corpus:
     def _vector(self, query: str) -> list[float]:
         return embedded_each(self.embedder.embed, [query])[0].tolist()
 
-    def search(self, query: str, k: int = 50) -> DataFrame:
-        """The ``k`` chunks nearest to a query, with distance."""
+    def search(self, query: str, k: int = 50, properties: list[str] | None = None) -> DataFrame:
+        """The ``k`` chunks nearest to a query, with distance; of their properties those listed, which may be nested ("headings.h1")."""
         near = retrieval.nearest(self._keyed(), self._vector(query), k, "key")
-        return self._keyed().join(F.broadcast(near), "key").drop("key", "embedding").orderBy("distance", "chunk_id")
+        hits = self._keyed().join(F.broadcast(near), "key").drop("key", "embedding").orderBy("distance", "chunk_id")
+        return hits if properties is None else hits.select(*properties, "distance")
 
     def _keyed(self) -> DataFrame:
         """Chunks by id, one for each: a file that was added twice has its chunks twice."""
@@ -263,7 +264,12 @@ class Corpus:
         return self._keyed().join(F.broadcast(best), F.col("key") == F.col("doc_id")).drop("key", "doc_id", "embedding").orderBy(F.desc("score"), "chunk_id")
 
     def request(self, question: str, model: str, rerank: bool = False, k: int = 50, first: int = 500) -> DataFrame:
-        """(prompt, n_tokens, request): what is to be asked, from the ``k`` nearest chunks, with titles."""
+        """(prompt, n_tokens, request): what is to be asked, from the ``k`` nearest chunks, with titles.
+
+        An embedder that says so (``reranks`` false) is refused with ``rerank``: its distances stand by themselves.
+        """
+        if rerank and not getattr(self.embedder, "reranks", True):
+            raise ValueError(f"hits by the embedder {self.embedder.name!r} are not reranked")
         hits = self.search(question, first if rerank else k).withColumn("rank", F.row_number().over(_by("distance", "chunk_id")))
         if rerank:
             hits = retrieval.reranked(hits, question, self.scorer).limit(k)

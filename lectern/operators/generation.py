@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip
+from lectern.functions.text import parsed_list, strip
 from lectern.operators.keywords import listed_keywords
-from lectern.providers import Generator
+from lectern.providers import Generator, Tokenizer
 
 ASK_KEYWORDS = "List the 20 key phrases of the following text, of one to three of its own words each, without articles, as a JSON array of strings: "
 ASK_PART = "{question}\nAnswer in full detail from the following text alone, without a summary:\n{text}"
@@ -29,6 +29,20 @@ def generated(prompt: Column | str, generator: Generator) -> Column:
     return F.arrow_udf(ask, "string")(prompt)
 
 
+def structured_list(prompt: Column | str, generator: Generator) -> Column:
+    """The list of strings that a generator answers with; null if its answer holds none."""
+    return parsed_list(generated(prompt, generator))
+
+
+def token_count_by(text: Column | str, tokenizer: Tokenizer) -> Column:
+    """Tokens of each text by a provider, in batches; 0 for null."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(tokenizer.count([t or "" for t in texts.to_pylist()]), pa.int32())
+
+    return F.arrow_udf(count, "int")(text)
+
+
 def llm_keywords(chunks: DataFrame, generator: Generator, id: str = "chunk_id", most: int = 20) -> DataFrame:
     """(id, keywords): keywords that a generator lists; none for a blank text, which isn't asked about, or for a reply without a list."""
     prompt = F.when(strip(F.coalesce("text", F.lit(""))) != "", F.concat(F.lit(ASK_KEYWORDS), F.col("text")))

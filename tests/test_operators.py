@@ -195,6 +195,10 @@ def test_corpus(spark, tmp_path):
     assert [r.chunk_id for r in corpus.search("gamma", 1).collect()] == ["a-2"] and [r.chunk_id for r in corpus.bm25("alpha", 5).collect()] == ["a-b-1", "a-1"]
     [asked] = corpus.request("alpha?", "m", rerank=True, k=2).collect()
     assert json.loads(asked.request)["messages"][0]["content"] == asked.prompt and "Texte:\nT\n\nalpha" in asked.prompt and asked.n_tokens == len(asked.prompt.split())
+    assert corpus.search("gamma", 1, ["chunk_id", "headings.h2"]).columns == ["chunk_id", "h2", "distance"]
+    Other = type("Other", (Hashing,), {"reranks": False})
+    with pytest.raises(ValueError):
+        collection.Corpus(spark, f"file://{tmp_path}/corpus", Other()).request("q", "m", rerank=True)
     assert corpus.purge("a", exact=True) == 2 and corpus.purge("a") == 1 and corpus.total() == 0
     assert spark.read.parquet(f"file://{tmp_path}/corpus/cache").count() == 3  # distinct texts, each embedded once
 
@@ -315,6 +319,8 @@ def test_generators(spark):
     docs = spark.createDataFrame([(1, "some text", "x"), (2, " ", "y"), (3, None, "z")], "chunk_id int, text string, reply string")
     out = generation.llm_keywords(docs, Canned(lambda p: 'Here: ["1. A", "a", "b"]')).collect()
     assert sorted(map(tuple, out)) == [(1, ["A", "b"]), (2, []), (3, [])]
+    both = docs.select(generation.structured_list("reply", Canned(lambda p: f'["{p}"]' if p == "x" else "no")).alias("l"), generation.token_count_by("text", Words()).alias("n"))
+    assert [tuple(r) for r in both.collect()] == [(["x"], 2), (None, 0), (None, 0)]
     assert generation.context_size("128000") == 128000
     for bad in ("", "0", "-1", "1e3"):
         with pytest.raises(ValueError):
