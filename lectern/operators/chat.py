@@ -130,13 +130,11 @@ def answers(events: DataFrame, keys: list[str], order: str = "seq", paths: tuple
     is an event that carries messages.  Thinking is what is being thought when the stream ends:
     content clears it.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.get_json_object("event", "$.done") == "true", F.lit(False))
     skip = F.coalesce(F.get_json_object("event", "$.messages").startswith("["), F.lit(False))
     e = events.where(~skip).select(*keys, F.col(order).alias("o"), delta(F.col("event"), paths).alias("piece"), delta(F.col("event"), THINKING).alias("thought"), done.alias("end"), _called(F.col("event")).alias("call"))
-    w, before = Window.partitionBy(*keys).orderBy("o"), Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys).orderBy("o")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # an end is passed over if a call came since the last end, or with it
     e = e.withColumn("last_end", F.last(F.when(F.col("end"), F.col("o")), ignorenulls=True).over(before))
     e = e.withColumn("last_call", F.last(F.when(F.col("call"), F.col("o")), ignorenulls=True).over(upto))
