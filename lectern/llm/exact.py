@@ -109,6 +109,11 @@ def slim(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long"), fingerprint("text").alias("digest")).groupBy("id", "digest").agg(F.count("*").alias("n"))
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """(digest, id): each distinct text's digest and its least id, to be kept as history for later runs."""
+    return slim(docs).groupBy("digest").agg(F.min("id").alias("id"))
+
+
 def decisions(rows: DataFrame, history: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
     """(id, digest, n, winner, keep) for ``rows`` as ``slim`` makes them.
 
@@ -136,8 +141,8 @@ def decisions(rows: DataFrame, history: DataFrame | None = None, bucket: int = B
     )
 
 
-def exact_decisions(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
-    """``decisions`` for whole documents; the history is those whose doc_id is in ``history_ids``.
+def exact_decisions(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET, seen: DataFrame | None = None) -> DataFrame:
+    """``decisions`` for whole documents; the history is those whose doc_id is in ``history_ids``, and what ``digests`` gave in earlier runs.
 
     The digests are written once, so texts are read once.  A doc_id of the history that no
     document has counts for nothing; without ``history_ids`` all documents are incoming.
@@ -146,23 +151,26 @@ def exact_decisions(docs: DataFrame, history_ids: DataFrame | None = None, bucke
     history = None
     if history_ids is not None:
         ids = picked(history_ids, h="doc_id").where("h IS NOT NULL").distinct()
-        history = rows.join(ids, F.col("id") == F.col("h"), "left_semi")
+        history = rows.join(ids, F.col("id") == F.col("h"), "left_semi").select("id", "digest")
+    if seen is not None:
+        old = picked(seen, id="id", digest="digest").select(F.col("id").cast("long"), "digest")
+        history = old if history is None else history.unionByName(old)
     return written(decisions(rows, history, bucket), "exact")
 
 
-def exact_duplicates(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+def exact_duplicates(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET, seen: DataFrame | None = None) -> DataFrame:
     """(doc_id, kept_doc_id): a row for each document that repeats another's whole text.
 
     Null texts repeat nothing; empty texts repeat each other.  Of rows with the same doc_id and
     text all but one are repeats.  No documents, no rows.
     """
-    d = exact_decisions(docs, history_ids, bucket)
+    d = exact_decisions(docs, history_ids, bucket, seen)
     again = F.col("n") - F.when(F.col("keep"), 1).otherwise(0)
     return d.select(F.col("id").alias("doc_id"), F.col("winner").alias("kept_doc_id"), again.alias("again")).where("again > 0").select(
         "doc_id", "kept_doc_id", F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))).alias("again")
     ).drop("again")
 
 
-def exact_dedup(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+def exact_dedup(docs: DataFrame, history_ids: DataFrame | None = None, bucket: int = BUCKET, seen: DataFrame | None = None) -> DataFrame:
     """The documents without those repeats, columns as they were; null texts all stay."""
-    return one_of_each(docs, exact_decisions(docs, history_ids, bucket))
+    return one_of_each(docs, exact_decisions(docs, history_ids, bucket, seen))

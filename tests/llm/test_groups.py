@@ -135,6 +135,17 @@ def test_history_wins_and_the_perfect_hash_is_minimal(spark):
     assert not h.lookup(keys ^ np.uint64(1))[0].any()
 
 
+def test_history_of_an_earlier_run(spark, tmp_path):
+    first = spark.createDataFrame([(5, "old"), (2, "old"), (3, None), (4, "")], "doc_id long, text string")
+    exact.digests(first).write.parquet(f"{tmp_path}/digests")
+    seen = spark.read.parquet(f"{tmp_path}/digests")
+    docs = spark.createDataFrame([(11, "old"), (1, "old"), (12, "new"), (13, "new"), (14, ""), (15, None)], "doc_id long, text string")
+    assert sorted(map(tuple, exact.exact_duplicates(docs, seen=seen).collect())) == [(1, 2), (11, 2), (13, 12), (14, 4)]
+    assert sorted(r.doc_id for r in exact.exact_dedup(docs, seen=seen).collect()) == [12, 15]
+    history = spark.createDataFrame([(13,)], "doc_id long")
+    assert sorted(map(tuple, exact.exact_duplicates(docs, history, seen=seen).collect())) == [(1, 2), (11, 2), (12, 13), (14, 4)]
+
+
 def test_documents_of_few_spots_are_compared(spark):
     rows = [
         (1, "Rain was falling on quiet old hills"), (2, "rain WAS falling, on quiet old hills; far away"),  # equal sets of one spot
