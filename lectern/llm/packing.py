@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY
-from .common import fresh_path, picked, same, written
+from .common import fresh_path, same, written
 from .tokens import id_type, place, token_files
 
 WINDOW = 8192
