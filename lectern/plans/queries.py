@@ -272,8 +272,9 @@ def llm_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 def projector_labels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    out = jsonl.projector(docs.withColumn("embedding", F.transform("embedding", lambda x: F.round(x * 100).cast("int"))), "the")
-    return out
+    # as floats: with an integer the product is a double, which rounds otherwise beside a half
+    scaled = F.transform("embedding", lambda x: F.round(x * F.lit(100).cast("float")).cast("int"))
+    return jsonl.projector(docs.withColumn("embedding", scaled), "the")
 
 
 def image_text(spark: SparkSession, d: str) -> DataFrame:
