@@ -249,10 +249,14 @@ class Corpus:
 
     def search(self, query: str, k: int = 50, properties: list[str] | None = None) -> DataFrame:
         """The ``k`` chunks nearest to a query, with distance; of their properties those listed, which may be nested ("headings.h1")."""
-        near = retrieval.nearest(self._keyed(), self._vector(query), k, "key")
-        hits = self._keyed().join(F.broadcast(near), "key").drop("key", "embedding").orderBy("distance", "chunk_id")
+        hits = self._hits(query, k).drop("rank")
         return hits if properties is None else hits.select(*properties, "distance")
 
+    def _hits(self, query: str, k: int) -> DataFrame:
+        """``search`` with each hit's rank."""
+        near = retrieval.ranked(self._keyed(), self._vector(query), k, "key")
+        return self._keyed().join(F.broadcast(near), "key").drop("key", "embedding").orderBy("rank")
+
     def _keyed(self) -> DataFrame:
         """Chunks by id, one for each: a file that was added twice has its chunks twice."""
         return self.table().withColumn("key", F.col("chunk_id")).where("key IS NOT NULL").dropDuplicates(["key"])
@@ -270,7 +274,7 @@ class Corpus:
         """
         if rerank and not getattr(self.embedder, "reranks", True):
             raise ValueError(f"hits by the embedder {self.embedder.name!r} are not reranked")
-        hits = self.search(question, first if rerank else k).withColumn("rank", F.row_number().over(_by("distance", "chunk_id")))
+        hits = self._hits(question, first if rerank else k)
         if rerank:
             hits = retrieval.reranked(hits, question, self.scorer).limit(k)
             hits = hits.withColumn("rank", F.row_number().over(_by(F.desc("reranker"), "rank")))

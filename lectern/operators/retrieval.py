@@ -28,10 +28,21 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id: str = "vec_i
     distance, which is rounded to 6 digits in the output.  Null vectors, and those of another
     length or with values that aren't finite, are not compared; without a query there are no rows.
     """
+    return _nearest(vectors, query, k, id, embedding).select(id, F.round("d", 6).alias("distance"))
+
+
+def ranked(vectors: DataFrame, query: Sequence[float], k: int, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, distance, rank from 1): ``nearest`` with its order, which the rounded distance doesn't give again."""
+    rank = F.row_number().over(Window.orderBy(F.round("d", 12), id))
+    return _nearest(vectors, query, k, id, embedding).select(id, F.round("d", 6).alias("distance"), rank.alias("rank"))
+
+
+def _nearest(vectors: DataFrame, query: Sequence[float], k: int, id: str, embedding: str) -> DataFrame:
+    """(id, d): ``nearest`` in order, with the exact distance."""
     q = np.array([query], np.float64)
     kept = vectors.select(id, embedding)
     if not q.size:
-        return kept.select(id, F.lit(0.0).alias("distance")).limit(0)
+        return kept.select(id, F.lit(0.0).alias("d")).limit(0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,7 +51,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id: str = "vec_i
 
     found = kept.mapInArrow(score, f"id {kept.schema[id].dataType.simpleString()}, d double")
     # distances that agree to 12 digits differ by rounding alone: they are ties
-    return found.orderBy(F.round("d", 12), "id").limit(k).select(F.col("id").alias(id), F.round("d", 6).alias("distance"))
+    return found.orderBy(F.round("d", 12), "id").limit(k).select(F.col("id").alias(id), "d")
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", embedding: str = "embedding", most: int = 100_000) -> DataFrame:
@@ -230,9 +241,7 @@ def two_stage(vectors: DataFrame, query: Sequence[float], texts: DataFrame, ques
     ``texts`` has (id, text).  The first stage is at most ``first`` rows, so it is broadcast and the
     texts are read once and not shuffled.
     """
-    hits = nearest(vectors, query, first, id, embedding)
-    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("distance", id)))
-    hits = texts.select(id, "text").join(F.broadcast(hits), id)
+    hits = texts.select(id, "text").join(F.broadcast(ranked(vectors, query, first, id, embedding)), id)
     best = reranked(hits, question, scorer).limit(last)
     return best.select(id, "text", "distance", "reranker", F.row_number().over(Window.orderBy(F.desc("reranker"), "rank")).alias("rnk"))
 

@@ -1,7 +1,8 @@
 """What only larger tables show: rows on the edge of rounding, and steps whose memory must not follow the input."""
 
-from pyspark.sql import functions as F
+import numpy as np
 
+from lectern.operators import collection, retrieval
 from lectern.plans.queries import QUERIES
 
 
@@ -11,3 +12,24 @@ def test_projected_values_are_rounded_as_floats(spark, tmp_path):
     spark.createDataFrame([(1, [0.105, -0.105, 0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     [row] = QUERIES["projector_labels"](spark, str(tmp_path)).collect()
     assert (row.vector, row.label) == ("11\t-11\t50", "the")
+
+
+def test_distances_that_round_alike_keep_their_exact_order(spark):
+    """Of two rows whose distances agree to 6 digits the nearer is first, though its id is larger."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0005]), (2, [1.0, 0.0])], "doc_id long, embedding array<double>")
+    texts = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string")
+    found = retrieval.two_stage(vectors, [1.0, 0.0], texts, "x").select("doc_id", "distance", "rnk").orderBy("rnk").collect()
+    assert [tuple(r) for r in found] == [(2, 0.0, 1), (1, 0.0, 2)]
+
+
+def test_a_request_ranks_by_the_exact_distance(spark, tmp_path):
+    class Near:
+        name, version, width = "near", "1", 2
+
+        def embed(self, texts):
+            return np.array([[1.0, 0.0005 * t.endswith("far")] for t in texts])
+
+    corpus = collection.Corpus(spark, str(tmp_path), Near()).reset()
+    corpus.add(corpus.embeddings(spark.createDataFrame([("a.md", "is far"), ("b.md", "is near")], "source_file string, text string")))
+    prompt = corpus.request("q", "m").first().prompt
+    assert 0 < prompt.index("b-1") < prompt.index("a-1")
