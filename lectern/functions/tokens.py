@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,22 +10,41 @@ import pyarrow.compute as pc
 
 #: What parts keyword tokens, and search terms, of a lower-case text.
 NO_KEYWORD, NO_TERM = "[^A-Za-zÀ-ÖØ-öø-ÿ0-9\\-]+", "[^a-zà-öø-ÿ0-9]+"
-#: Texts are worked through in slices of about so many bytes, whatever a batch holds.
-SLICE = 4 << 20
+#: Texts are worked through in slices of about so many bytes, whatever a batch holds: what is made of a slice takes many times its bytes.
+SLICE = 1 << 20
 
 
-def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts): slices of a batch; null counts as an empty text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts): slices of a batch, each of one text or of at most ``most`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         start = int(size[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(size, start + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(size, start + most, "right")))
         yield at, texts.slice(at, to - at)
         at = to
 
 
+def parts(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """``slices`` in which null counts as an empty text."""
+    for at, some in slices(texts, most):
+        yield at, pc.fill_null(some.cast(pa.large_string()), "")
+
+
+def by_slice(texts: pa.Array, change: Callable[[list[str | None]], pa.Array]) -> pa.Array:
+    """What ``change`` makes of a batch's texts, slice by slice."""
+    out = [change(some.to_pylist()) for _, some in slices(texts)]
+    return pa.concat_arrays(out) if out else change([])
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, where each number is first): equal keys have equal numbers, from 0 in order of their first places."""
+    number = pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.empty(int(number.max(initial=-1)) + 1, np.int64)
+    first[number[::-1]] = np.arange(len(keys))[::-1]  # the first is written last
+    return number, first
+
+
 class Tokens:
     """The tokens of some texts: ``code`` of each, an index into ``words``, and the ``row`` that it is in."""
 
@@ -84,20 +103,26 @@ class Tokens:
         at = at[self.row[at] == self.row[at + n - 1]] if len(at) else at
         key = self.code[at] if len(at) else at
         for k in range(1, n):
-            _, key = np.unique(key * max(1, len(self.words)) + self.code[at + k], return_inverse=True)
+            key = numbered(key * max(1, len(self.words)) + self.code[at + k])[0]
         return self.row[at], at, key
 
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    def phrases(self, longest: int, places: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
         """(words, row, which, how often, first token, phrases) for runs of 1 to ``longest`` tokens.
 
-        ``which`` indexes ``phrases``, the distinct ones; each text has each of its phrases once.
+        ``which`` indexes ``phrases``, the distinct ones; each text has each of its phrases once, by
+        row and ``which``.  Without ``places`` there are no first tokens.
         """
         for n in range(1, longest + 1):
             row, at, key = self.runs(n)
             if not len(key):
                 continue
-            key, first, which = np.unique(key, return_index=True, return_inverse=True)
+            which, first = numbered(key)
             text = [self.words.take(pa.array(self.code[at[first] + k])) for k in range(n)]
             text = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())) if n > 1 else text[0]
-            pair, where, count = np.unique(row * len(key) + which, return_index=True, return_counts=True)
-            yield n, pair // len(key), pair % len(key), count, at[where], text
+            pairs = row * len(first) + which
+            pair, count = np.unique(pairs, return_counts=True)
+            where = np.zeros(0, np.int64)
+            if places:
+                where = np.empty(len(pair), np.int64)
+                where[np.searchsorted(pair, pairs)[::-1]] = at[::-1]  # the first is written last
+            yield n, pair // len(first), pair % len(first), count, where, text

@@ -12,6 +12,7 @@ from pyspark.sql.window import WindowSpec
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions.text import IMAGE, utc_now
+from lectern.functions.tokens import by_slice
 from lectern.operators import chunking, retrieval
 from lectern.providers import Describer, Embedder, Hashing, Scorer, embedded_each
 
@@ -75,14 +76,14 @@ def cache_misses(docs: DataFrame, cached: DataFrame, model: str, version: str, t
 
 
 def embedding_of(text: Column | str, embedder: Embedder) -> Column:
-    """A text's vector by a provider that is given batches; a null text is embedded as a space."""
+    """A text's vector by a provider that is given slices of batches; a null text is embedded as a space."""
 
-    def embed(texts: pa.Array) -> pa.Array:
-        rows = [t or "" for t in texts.to_pylist()]
+    def embed(texts: list[str | None]) -> pa.Array:
+        rows = [t or "" for t in texts]
         m = embedded_each(embedder.embed, rows).astype(np.float32) if rows else np.zeros((0, embedder.width), np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
-    return F.arrow_udf(embed, "array<float>")(text)
+    return F.arrow_udf(lambda texts: by_slice(texts, embed), "array<float>")(text)
 
 
 def embed(chunks: DataFrame, embedder: Embedder | None = None, cache: str | None = None, text: str = "text") -> DataFrame:

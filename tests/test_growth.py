@@ -1,9 +1,17 @@
 """What only larger tables show: rows on the edge of rounding, and steps whose memory must not follow the input."""
 
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from lectern.operators import collection, retrieval
+from lectern.functions import html, tokens
+from lectern.operators import chunking, collection, keywords, retrieval
 from lectern.plans.queries import QUERIES
+from lectern.providers import Hashing
 
 
 def test_projected_values_are_rounded_as_floats(spark, tmp_path):
@@ -33,3 +41,24 @@ def test_a_request_ranks_by_the_exact_distance(spark, tmp_path):
     corpus.add(corpus.embeddings(spark.createDataFrame([("a.md", "is far"), ("b.md", "is near")], "source_file string, text string")))
     prompt = corpus.request("q", "m").first().prompt
     assert 0 < prompt.index("b-1") < prompt.index("a-1")
+
+
+def test_an_embedder_is_given_slices_of_a_batch(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    class Sized(Hashing):
+        def embed(self, texts):
+            with seen.open("a") as f:
+                f.write(f"{sum(map(len, texts))}\n")
+            return super().embed(texts)
+
+    docs = spark.range(0, 12, 1, 1).select("id", F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 100_000).alias("text"))
+    out = sorted(collection.embed(docs, Sized(4)).select("id", "embedding").collect())
+    assert max(map(int, seen.read_text().split())) <= tokens.SLICE
+    assert [r.embedding for r in out] == [pytest.approx(Hashing(4).embed([f"w{i}"])[0].tolist(), abs=1e-6) for i in range(12)]
+
+
+def test_slices_have_every_row_once_and_keep_nulls():
+    texts = pa.array(["x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000, None])
+    found = [(at, some.to_pylist()) for at, some in tokens.slices(texts)]
+    assert [at for at, _ in found] == [0, 2, 4, 5] and [t for _, some in found for t in some] == texts.to_pylist()
