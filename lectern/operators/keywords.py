@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import STOPWORDS, cleaned_keyword, parsed_list
-from lectern.functions.tokens import NO_KEYWORD, Tokens, parts
+from lectern.functions.tokens import NO_KEYWORD, Tokens, by_slice, parts
 
 QUOTES = (r'"([^"\n]{2,})"', r"“([^”\n]{2,})”", r"«\s*([^»\n]{2,})\s*»")
 EMPHASIS = (r"\*\*([^*\n]{2,})\*\*", r"\*([^*\n]{2,})\*", r"__([^_\n]{2,})__", r"_([^_\n]{2,})_")
@@ -60,54 +60,90 @@ class Scored(NamedTuple):
     seen: np.ndarray  # the order in which a document's phrases come up
 
 
-def scored(texts: pa.Array, patterns: tuple[str, ...]) -> Scored:
-    """All candidates of some texts: a point for each run, QUOTED for each that stands between marks."""
+def _candidates(texts: pa.Array, patterns: tuple[str, ...], places: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(row, which, score, seen, phrases) for the candidates of 1 to LONGEST tokens; ``which`` indexes ``phrases``, the distinct ones.
+
+    Content tokens have LEAST_SIGNS signs, so every run has enough of them.
+    """
     low = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())
-    rows, names, scores, seen = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], [np.zeros(0)], [np.zeros(0, np.int64)]
     spans: list[tuple[int, str, int]] = []
-    some = pc.match_substring_regex(texts, _MARKS.pattern).to_numpy(zero_copy_only=False)
-    for i in np.flatnonzero(some).tolist():
-        spans += [(i, phrase, k) for k, phrase in enumerate(marked(texts[i].as_py(), patterns))]
+    if patterns:
+        some = pc.match_substring_regex(texts, _MARKS.pattern).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(some).tolist():
+            spans += [(i, phrase, k) for k, phrase in enumerate(marked(texts[i].as_py(), patterns))]
     begin = max((k for _, _, k in spans), default=0) + 1
     tokens = Tokens(low, NO_KEYWORD).content(STOPWORDS)
-    for n, row, which, count, first, phrases in tokens.phrases(LONGEST):
-        score, order = count + LONGER * (n - 1), begin + n * len(tokens.code) + first
+    for n, row, which, count, first, phrases in tokens.phrases(LONGEST, places):
+        score, order = count + LONGER * (n - 1), begin + n * len(tokens.code) + first  # no order without places
         mine = [s for s in spans if s[1].count(" ") == n - 1]
         if mine:
             code = pc.index_in(pa.array([s[1] for s in mine], phrases.type), value_set=phrases).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(row * len(phrases) + which, np.array([s[0] for s in mine]) * len(phrases) + code)
             np.add.at(score, at, QUOTED)
-            np.minimum.at(order, at, np.array([s[2] for s in mine]))
-        enough = pc.greater_equal(pc.utf8_length(pc.replace_substring(phrases, " ", "")), LEAST_SIGNS).to_numpy(zero_copy_only=False)[which]
-        rows.append(row[enough])
-        names.append(phrases.take(pa.array(which[enough])))
-        scores.append(score[enough])
-        seen.append(order[enough])
+            if places:
+                np.minimum.at(order, at, np.array([s[2] for s in mine]))
+        yield row, which, score, order, phrases
+
+
+def scored(texts: pa.Array, patterns: tuple[str, ...]) -> Scored:
+    """All candidates of some texts: a point for each run, QUOTED for each that stands between marks."""
+    rows, names, scores, seen = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for row, which, score, order, phrases in _candidates(texts, patterns):
+        rows.append(row)
+        names.append(phrases.take(pa.array(which)))
+        scores.append(score)
+        seen.append(order)
     return Scored(np.concatenate(rows), pa.concat_arrays(names), np.concatenate(scores), np.concatenate(seen))
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch], patterns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """(phrase, df, score): in how many of a slice's texts each phrase is, and its best score there."""
-    for batch in batches:
-        for _, texts in parts(batch.column("text")):
-            found = scored(texts, patterns)
-            table = pa.table({"phrase": found.phrase, "score": found.score}).group_by("phrase").aggregate([("score", "count"), ("score", "max")])
-            table = pa.table({"phrase": table["phrase"].cast(pa.string()), "df": table["score_count"], "score": table["score_max"]})
-            yield from table.combine_chunks().to_batches()
+#: Bytes of texts whose phrases are counted together: larger slices have fewer partial counts.
+COUNTED = 4 << 20
+#: Bytes of texts whose phrases, some 300,000 a MB, make a partition.
+GATHERED = 8 << 20
 
 
-def _partial(docs: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
-    return docs.select("text").where("text IS NOT NULL").mapInArrow(lambda it: _vocabulary(it, patterns), "phrase string, df long, score double")
+def _partial(docs: DataFrame, kind: str, count: Callable[[pa.Array], Iterator[tuple[pa.Array, np.ndarray]]]) -> DataFrame:
+    """(phrase, n): what ``count`` says of each slice's phrases, once for each slice, in partitions by phrase.
+
+    Nearly every phrase of three words is new, so counts are not put together again before they are shuffled:
+    that would hold a task's whole vocabulary and shuffle as much.  There are as many partitions as
+    the texts, whose bytes are counted first, have phrases for.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in parts(batch.column(0), COUNTED):
+                for phrases, n in count(texts):
+                    yield pa.RecordBatch.from_arrays([phrases.cast(pa.string()), pa.array(n)], ["phrase", "n"])
+
+    texts = docs.select("text").where("text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    return texts.mapInArrow(each, f"phrase string, n {kind}").repartition(1 + size // GATHERED, "phrase")
 
 
 def document_frequency(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS) -> DataFrame:
-    """(phrase, df): in how many rows each phrase is; rows of equal texts count one by one."""
-    return _partial(docs, patterns).groupBy("phrase").agg(F.sum("df").alias("df"))
+    """(phrase, df): in how many rows each phrase is; rows of equal texts count one by one.
+
+    What stands between marks is a run of tokens anyway, so ``patterns`` change nothing.
+    """
+
+    def count(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for _, which, _, _, phrases in _candidates(texts, (), False):
+            yield phrases, np.bincount(which, minlength=len(phrases)).astype(np.int64)
+
+    return _partial(docs, "long", count).groupBy("phrase").agg(F.sum("n").alias("df"))
 
 
 def specificity(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS) -> DataFrame:
     """(phrase, score): each phrase's best score in any document."""
-    return _partial(docs, patterns).groupBy("phrase").agg(F.max("score").alias("score"))
+
+    def best(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for _, which, score, _, phrases in _candidates(texts, patterns, False):
+            most = np.zeros(len(phrases))
+            np.maximum.at(most, which, score)
+            yield phrases, most
+
+    return _partial(docs, "double", best).groupBy("phrase").agg(F.max("n").alias("score"))
 
 
 def vocabulary(docs: DataFrame, order: str = "freq") -> DataFrame:
@@ -150,7 +186,7 @@ def marked_spans(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS,
     """(id, phrase): a row for each span in quotes or emphasis that has 1 to 3 content tokens."""
 
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([[*marked(t or "", patterns)] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return by_slice(texts, lambda some: pa.array([[*marked(t or "", patterns)] for t in some], pa.list_(pa.string())))
 
     return docs.select(id, F.explode(F.arrow_udf(spans, "array<string>")("text")).alias("phrase"))
 

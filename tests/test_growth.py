@@ -62,3 +62,13 @@ def test_slices_have_every_row_once_and_keep_nulls():
     texts = pa.array(["x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000, None])
     found = [(at, some.to_pylist()) for at, some in tokens.slices(texts)]
     assert [at for at, _ in found] == [0, 2, 4, 5] and [t for _, some in found for t in some] == texts.to_pylist()
+
+
+def test_phrases_are_shuffled_without_a_tasks_vocabulary_to_partitions_by_size(spark):
+    docs = spark.range(0, 40, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("the "), 120_000), F.lit('"alpha beta" delta')).alias("text"))
+    for found, want in ((keywords.document_frequency(docs), 40), (keywords.specificity(docs), 1.25 + 2.5)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("Aggregate") < plan.index("MapInArrow") and "Aggregate" not in plan[plan.index("Repartition" if "Repartition" in plan else "Exchange") :]
+        assert found.rdd.getNumPartitions() == 1 + 40 * 480_000 // keywords.GATHERED
+        rows = {tuple(r) for r in found.collect()}
+        assert ("alpha beta", want) in rows and {p for p, _ in rows} == {"alpha", "beta", "delta", "alpha beta", "beta delta", "alpha beta delta"}
