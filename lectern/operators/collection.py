@@ -15,6 +15,7 @@ from lectern.functions.text import IMAGE, utc_now
 from lectern.functions.tokens import by_slice
 from lectern.operators import chunking, retrieval
 from lectern.providers import Describer, Embedder, Hashing, Scorer, embedded_each
+from lectern.storage import scratch
 
 FILE = r"(?s)^(.+)-(\d+)$"
 #: Hash buckets of file names by which a collection is laid out: a file's chunks are in one.
@@ -170,14 +171,21 @@ class Corpus:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.coalesce(file_of(F.col("chunk_id")), F.lit(""))), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, mode: str, dynamic: bool = False) -> None:
-        writer = rows.write.mode(mode).partitionBy("bucket")
-        (writer.option("partitionOverwriteMode", "dynamic") if dynamic else writer).parquet(self._home)
+    def _move(self, staged: str) -> None:
+        """Puts the files of a staged table's buckets among the collection's: what was written once isn't written again."""
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs, home = Path(staged).getFileSystem(self.spark._jsc.hadoopConfiguration()), Path(self._home)
+        for bucket in fs.globStatus(Path(f"{staged}/bucket=*")):
+            to = Path(home, bucket.getPath().getName())
+            files = [f.getPath() for f in fs.listStatus(bucket.getPath())] if fs.exists(to) else [bucket.getPath()]
+            for f in files:  # their names are unique
+                if not fs.rename(f, to):
+                    raise OSError(f"{f} can't be moved to {to}")
 
     def reset(self) -> Corpus:
         """Drops all chunks; the collection exists, empty."""
         self._delete(self._home)
-        self._write(self._rows(), "overwrite")
+        self._rows().write.mode("overwrite").partitionBy("bucket").parquet(self._home)
         return self
 
     def table(self) -> DataFrame:
@@ -203,7 +211,7 @@ class Corpus:
                 if mode == "new" and not hit.limit(1).isEmpty():
                     raise ValueError("the collection has chunks of such a file already")
                 self._rewrite(hit.select("bucket").distinct(), lambda keep: keep.withColumn("__lectern_f", file_of(F.col("chunk_id"))).join(files.select("f"), F.col("__lectern_f") == F.col("f"), "left_anti").drop("__lectern_f"))
-            self._write(rows, "append")
+            self._move(staged)
             return many
         finally:
             self._delete(staged)
@@ -216,11 +224,9 @@ class Corpus:
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         kept(self._rows().where(F.col("bucket").isin(buckets))).write.partitionBy("bucket").parquet(staged)
         try:
-            rows = _table(self.spark, staged, self._rows().schema)
-            self._write(rows, "overwrite", dynamic=True)
-            left = {r.bucket for r in rows.select("bucket").distinct().collect()}
-            for b in set(buckets) - left:
+            for b in buckets:
                 self._delete(f"{self._home}/bucket={b}")
+            self._move(staged)
         finally:
             self._delete(staged)
 
@@ -242,8 +248,14 @@ class Corpus:
         return describe_images(markdown, describer, f"{self.path}/images" if describer else None)
 
     def embeddings(self, markdown: DataFrame, budget: int = chunking.BUDGET) -> DataFrame:
-        """The embedded chunks of (source_file, text), vectors from and to the collection's cache."""
-        return embed(chunking.chunk(markdown, budget), self.embedder, f"{self.path}/cache")
+        """The embedded chunks of (source_file, text), vectors from and to the collection's cache.
+
+        Chunks are written to the shared folder first: they are read for the cache and each time they are added.
+        """
+        path = scratch(self.spark, "chunks")
+        chunks = chunking.chunk(markdown, budget)
+        chunks.write.parquet(path)
+        return embed(self.spark.read.schema(chunks.schema).parquet(path), self.embedder, f"{self.path}/cache")
 
     def _vector(self, query: str) -> list[float]:
         return embedded_each(self.embedder.embed, [query])[0].tolist()

@@ -72,3 +72,16 @@ def test_phrases_are_shuffled_without_a_tasks_vocabulary_to_partitions_by_size(s
         assert found.rdd.getNumPartitions() == 1 + 40 * 480_000 // keywords.GATHERED
         rows = {tuple(r) for r in found.collect()}
         assert ("alpha beta", want) in rows and {p for p, _ in rows} == {"alpha", "beta", "delta", "alpha beta", "beta delta", "alpha beta delta"}
+
+
+def test_chunks_are_made_once_and_a_collections_rows_written_once(spark, tmp_path):
+    corpus = collection.Corpus(spark, f"file://{tmp_path}/corpus", buckets=4).reset()
+    md = spark.createDataFrame([(f"{c}.md", f"# T\nalpha {c}") for c in "abcdefgh"], "source_file string, text string")
+    made = corpus.embeddings(md)
+    assert "EvalPython" not in made._jdf.queryExecution().sparkPlan().toString()
+    files = lambda: {p.name for p in (tmp_path / "corpus/chunks").rglob("*.parquet")}
+    assert corpus.add(made) == 8 and corpus.total() == 8
+    first = files()
+    assert corpus.add(made.where("chunk_id = 'a-1'")) == 1 and first < files() and corpus.total() == 9
+    assert corpus.add(made.where("chunk_id = 'a-1'"), "replace") == 1 and corpus.total() == 8
+    assert corpus.purge("?") == 8 and corpus.total() == 0 and not [*(tmp_path / "corpus").glob("staged*")]
