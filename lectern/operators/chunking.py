@@ -36,17 +36,16 @@ def heading_title(line: Column) -> Column:
 def with_headings(lines: DataFrame, id: str, order: str = "line_no") -> DataFrame:
     """``lines`` with level, h1..h6 in force at each line, and full_headings.
 
-    A heading of level k holds until the next of level k or less: it is the last in the group of
-    lines that a running count of headings above level k delimits.
+    A heading of level k holds until the next of level k or less: it is in force where the last
+    heading of level k or less is of level k.  All levels share one sort.
     """
     g = lambda k: f"{_OWN}g{k}"
     w = Window.partitionBy(id).orderBy(order)
-    out = lines.withColumn("level", heading_level(F.col("line"))).withColumn(g(0), heading_title(F.col("line")))
-    out = out.select("*", *(F.sum(F.when((F.col("level") > 0) & (F.col("level") < k), 1).otherwise(0)).over(w).alias(g(k)) for k in LEVELS))
-    for k in LEVELS:
-        group = Window.partitionBy(id, g(k)).orderBy(order)
-        out = out.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.col(g(0))), ignorenulls=True).over(group))
-    return out.drop(*map(g, range(7))).withColumn("full_headings", _joined([F.col(f"h{k}") for k in LEVELS]))
+    out = lines.withColumn("level", heading_level(F.col("line")))
+    head = F.struct(F.col("level").alias("level"), heading_title(F.col("line")).alias("title"))
+    out = out.select("*", *(F.last(F.when((F.col("level") > 0) & (F.col("level") <= k), head), ignorenulls=True).over(w).alias(g(k)) for k in LEVELS))
+    out = out.withColumns({f"h{k}": F.when(F.col(f"{g(k)}.level") == k, F.col(f"{g(k)}.title")) for k in LEVELS})
+    return out.drop(*map(g, LEVELS)).withColumn("full_headings", _joined([F.col(f"h{k}") for k in LEVELS]))
 
 
 def _joined(titles: list[Column]) -> Column:

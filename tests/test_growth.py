@@ -74,6 +74,22 @@ def test_phrases_are_shuffled_without_a_tasks_vocabulary_to_partitions_by_size(s
         assert ("alpha beta", want) in rows and {p for p, _ in rows} == {"alpha", "beta", "delta", "alpha beta", "beta delta", "alpha beta delta"}
 
 
+def test_headings_of_all_levels_share_one_sort(spark):
+    r = random.Random(5)
+    rows = [(d, n, r.choice(["# a", "## b", "### c", "###### f", "x", "#", ""]) + str(n)) for d in range(3) for n in range(60)]
+    found = chunking.with_headings(spark.createDataFrame(rows, "doc_id int, line_no int, line string"), "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    want, held = [], {}
+    for d, n, line in rows:
+        held = {} if n == 0 else held
+        if line.startswith("#") and " " in line:
+            level = line.index(" ")
+            held = {k: t for k, t in held.items() if k < level} | {level: line[level:].strip()}
+        want.append((d, n, *(held.get(k) for k in range(1, 7)), "; ".join(held.values())))
+    assert sorted(map(tuple, found.select("doc_id", "line_no", *(f"h{k}" for k in range(1, 7)), "full_headings").collect())) == want
+
+
 def test_chunks_are_made_once_and_a_collections_rows_written_once(spark, tmp_path):
     corpus = collection.Corpus(spark, f"file://{tmp_path}/corpus", buckets=4).reset()
     md = spark.createDataFrame([(f"{c}.md", f"# T\nalpha {c}") for c in "abcdefgh"], "source_file string, text string")
