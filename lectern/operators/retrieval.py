@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -19,6 +20,8 @@ from lectern.providers import Overlap, Scorer
 K1, B = 1.2, 0.75
 #: Hash buckets of terms by which postings are laid out.
 BUCKETS = 64
+#: Terms, counted with repeats, whose postings one task sorts and writes.
+TERMS = 2_000_000
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -195,17 +198,20 @@ class Postings:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, docs: DataFrame, buckets: int = BUCKETS, spread: int = 1) -> Postings:
-        """Writes the index anew; each bucket is written by ``spread`` tasks, so that a term in most documents fills no single one.
+        """Writes the index anew; each bucket is written by ``spread`` tasks, or as many as it has terms for, so that a term in most documents fills no single one.
 
         Rows of one doc_id and different texts are different documents; null texts are empty.
         """
         kind = docs.schema["doc_id"].dataType.simpleString()
+        lengths = docs.select(F.lower("text").alias("text"), "doc_id").mapInArrow(lambda it: _term_counts(it, []), f"doc_id {kind}, dl long")
+        stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.sum("dl").alias("terms"))
+        [total] = stats.collect()
+        spread = max(spread, math.ceil((total.terms or 0) / (buckets * TERMS)))
         posted = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_posted, f"term string, doc_id {kind}, tf int, dl int")
         posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-        posted.repartition(buckets * spread, "bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lengths = docs.select(F.lower("text").alias("text"), "doc_id").mapInArrow(lambda it: _term_counts(it, []), f"doc_id {kind}, dl long")
-        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/stats")
+        salt = F.pmod(F.hash("doc_id"), F.lit(spread))
+        posted.repartitionById(buckets * spread, (F.col("bucket") * spread + salt).cast("int")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self.spark.createDataFrame([tuple(total)[:3]], "n long, avgdl double, buckets int").write.mode("overwrite").parquet(f"{self.path}/stats")
         return self
 
     def search(self, query: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:

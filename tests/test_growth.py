@@ -90,6 +90,13 @@ def test_headings_of_all_levels_share_one_sort(spark):
     assert sorted(map(tuple, found.select("doc_id", "line_no", *(f"h{k}" for k in range(1, 7)), "full_headings").collect())) == want
 
 
+def test_a_bucket_of_many_terms_is_written_by_several_tasks(spark, tmp_path):
+    docs = spark.range(0, 300, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("x "), 10_000), F.lit("y"), F.col("id") % 7).alias("text"))
+    index = retrieval.Postings(spark, f"file://{tmp_path}/index").build(docs, 1)
+    assert len([*(tmp_path / "index/postings/bucket=0").glob("*.parquet")]) == 2
+    assert [tuple(r) for r in index.search(["y3", "x"], 20).collect()] == [tuple(r) for r in retrieval.bm25(docs, ["y3", "x"], 20).collect()]
+
+
 def test_chunks_are_made_once_and_a_collections_rows_written_once(spark, tmp_path):
     corpus = collection.Corpus(spark, f"file://{tmp_path}/corpus", buckets=4).reset()
     md = spark.createDataFrame([(f"{c}.md", f"# T\nalpha {c}") for c in "abcdefgh"], "source_file string, text string")
