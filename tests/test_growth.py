@@ -52,10 +52,29 @@ def test_an_embedder_is_given_slices_of_a_batch(spark, tmp_path):
                 f.write(f"{sum(map(len, texts))}\n")
             return super().embed(texts)
 
-    docs = spark.range(0, 12, 1, 1).select("id", F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 100_000).alias("text"))
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 100_000).alias("text"))
     out = sorted(collection.embed(docs, Sized(4)).select("id", "embedding").collect())
     assert max(map(int, seen.read_text().split())) <= tokens.SLICE
-    assert [r.embedding for r in out] == [pytest.approx(Hashing(4).embed([f"w{i}"])[0].tolist(), abs=1e-6) for i in range(12)]
+    assert [r.embedding for r in out] == [pytest.approx(Hashing(4).embed([f"w{i}"])[0].tolist(), abs=1e-6) for i in range(40)]
+
+
+def peak(work) -> float:
+    """MB that Python and numpy held at most."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def batch(mb: int) -> pa.Array:
+    """Texts of 100 KB with new words, as many MB."""
+    return pa.array([" ".join(f"word{i * 10_000 + k}" for k in range(9_000)) for i in range(10 * mb)], pa.string())
+
+
+def test_memory_for_phrases_does_not_follow_the_batch():
+    assert peak(lambda: keywords._best(batch(1), 8, keywords.QUOTES)) > 0.6 * peak(lambda: keywords._best(batch(4), 8, keywords.QUOTES))
 
 
 def test_slices_have_every_row_once_and_keep_nulls():
