@@ -77,6 +77,12 @@ def test_memory_for_phrases_does_not_follow_the_batch():
     assert peak(lambda: keywords._best(batch(1), 8, keywords.QUOTES)) > 0.6 * peak(lambda: keywords._best(batch(4), 8, keywords.QUOTES))
 
 
+def test_memory_for_pages_does_not_follow_the_batch():
+    pages = batch(8)
+    assert peak(lambda: html._each(pages, lambda page: page[:9])) < 4
+    assert html._each(pa.array(["a", None, ""]), str.upper).to_pylist() == ["A", None, ""]
+
+
 def test_slices_have_every_row_once_and_keep_nulls():
     texts = pa.array(["x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000, None])
     found = [(at, some.to_pylist()) for at, some in tokens.slices(texts)]
