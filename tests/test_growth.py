@@ -77,6 +77,11 @@ def test_memory_for_phrases_does_not_follow_the_batch():
     assert peak(lambda: keywords._best(batch(1), 8, keywords.QUOTES)) > 0.6 * peak(lambda: keywords._best(batch(4), 8, keywords.QUOTES))
 
 
+def test_memory_for_terms_does_not_follow_the_batch():
+    small, large = (pa.RecordBatch.from_arrays([pa.array(range(len(t))), t], ["doc_id", "text"]) for t in (batch(1), batch(4)))
+    assert peak(lambda: [*retrieval._term_counts(iter([small]), ["word1"])]) > 0.6 * peak(lambda: [*retrieval._term_counts(iter([large]), ["word1"])])
+
+
 def test_memory_for_pages_does_not_follow_the_batch():
     pages = batch(8)
     assert peak(lambda: html._each(pages, lambda page: page[:9])) < 4
