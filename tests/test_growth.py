@@ -82,6 +82,15 @@ def test_memory_for_terms_does_not_follow_the_batch():
     assert peak(lambda: [*retrieval._term_counts(iter([small]), ["word1"])]) > 0.6 * peak(lambda: [*retrieval._term_counts(iter([large]), ["word1"])])
 
 
+def test_terms_are_counted_row_by_row_without_python(spark, tmp_path):
+    texts = ["", None, "the", " the. ", "...", "İstanbul THE that É÷x trash", "the\n\nthe that\r", "a𝒳b ÀÖØ the þÿ×", "the the"]
+    docs, query = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), ["the", "that", "the", "àöø"]
+    low = pa.RecordBatch.from_pylist([{"doc_id": r.doc_id, "text": r.t} for r in docs.select("doc_id", F.lower("text").alias("t")).collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    want = [tuple(r.values()) for b in retrieval._term_counts(iter([low]), query) for r in b.to_pylist()]
+    assert sorted(map(tuple, retrieval.term_counts(docs, query).collect())) == want
+    assert "InArrow" not in retrieval.bm25(docs, query, 5)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_memory_for_pages_does_not_follow_the_batch():
     pages = batch(8)
     assert peak(lambda: html._each(pages, lambda page: page[:9])) < 4
