@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Row
 
 #: What parts keyword tokens, and search terms, of a lower-case text.
 NO_KEYWORD, NO_TERM = "[^A-Za-zÀ-ÖØ-öø-ÿ0-9\\-]+", "[^a-zà-öø-ÿ0-9]+"
@@ -37,6 +38,20 @@ def by_slice(texts: pa.Array, change: Callable[[list[str | None]], pa.Array]) ->
     return pa.concat_arrays(out) if out else change([])
 
 
+def gathered(rows: Iterable[Row], most: int = SLICE) -> Iterator[list[Row]]:
+    """Rows with a text, in lists whose texts have about ``most`` signs: a list ends with the row that reaches it."""
+    held: list[Row] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row.text or "")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key, where each number is first): equal keys have equal numbers, from 0 in order of their first places."""
     number = pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

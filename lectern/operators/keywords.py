@@ -14,11 +14,12 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions.text import STOPWORDS, cleaned_keyword, parsed_list
-from lectern.functions.tokens import NO_KEYWORD, Tokens, by_slice, parts
+from lectern.functions.tokens import NO_KEYWORD, Tokens, by_slice, gathered, parts
 
 QUOTES = (r'"([^"\n]{2,})"', r"“([^”\n]{2,})”", r"«\s*([^»\n]{2,})\s*»")
 EMPHASIS = (r"\*\*([^*\n]{2,})\*\*", r"\*([^*\n]{2,})\*", r"__([^_\n]{2,})__", r"_([^_\n]{2,})_")
@@ -176,10 +177,22 @@ def key_phrases(docs: DataFrame, least: int = 6, most: int = 8, patterns: tuple[
     """(id, rnk, phrase, score): each document's best phrases, ``most`` of them, or ``least`` if that is more.
 
     By score, then length, then first occurrence.  A document without candidates has no row.
+
+    Spark gives rows to Python in blocks that it ends by their bytes, some MB, while an Arrow batch
+    holds 10,000 texts or 64 MB of them; so a worker's memory follows neither a task's texts nor their size.
     """
     many = max(least, most)
-    best = F.arrow_udf(lambda texts: _best(texts, many, patterns), _RANKED)
-    return docs.select(id, F.posexplode(best("text")).alias("at", "p")).select(id, (F.col("at") + 1).alias("rnk"), "p.phrase", "p.score")
+    kept = docs.select(F.col(id).alias("id"), "text")
+
+    def best(rows: Iterable[Row]) -> Iterator[tuple]:
+        for some in gathered(rows):
+            ranked = _best(pa.array([r.text for r in some], pa.string()), many, patterns).to_pylist()
+            for row, phrases in zip(some, ranked, strict=True):
+                for at, p in enumerate(phrases):
+                    yield row.id, at + 1, p["phrase"], p["score"]
+
+    schema = StructType([StructField(id, kept.schema["id"].dataType), StructField("rnk", IntegerType()), StructField("phrase", StringType()), StructField("score", DoubleType())])
+    return docs.sparkSession.createDataFrame(kept.rdd.mapPartitions(best), schema, verifySchema=False)
 
 
 def marked_spans(docs: DataFrame, patterns: tuple[str, ...] = QUOTES + EMPHASIS, id: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.functions import html, tokens
@@ -77,6 +78,17 @@ def test_memory_for_phrases_does_not_follow_the_batch():
     assert peak(lambda: keywords._best(batch(1), 8, keywords.QUOTES)) > 0.6 * peak(lambda: keywords._best(batch(4), 8, keywords.QUOTES))
 
 
+def test_phrases_get_their_texts_in_blocks_ended_by_bytes(spark):
+    rows = [Row(text=t) for t in ("x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000, None)]
+    found = [*tokens.gathered(iter(rows))]
+    assert [len(some) for some in found] == [3, 2, 1] and [r for some in found for r in some] == rows and [*tokens.gathered(iter([]))] == []
+    docs = spark.createDataFrame([("b", 'alpha "beta gamma"'), ("a", None), (None, "alpha"), ("b", "")], "name string, text string")
+    best = keywords.key_phrases(docs, 1, 2, id="name")
+    assert "ArrowEvalPython" not in best._jdf.queryExecution().executedPlan().toString()
+    assert best.dtypes == [("name", "string"), ("rnk", "int"), ("phrase", "string"), ("score", "double")]
+    assert sorted(map(tuple, best.collect()), key=str) == [("b", 1, "beta gamma", 3.75), ("b", 2, "alpha beta gamma", 1.5), (None, 1, "alpha", 1.0)]
+
+
 def test_memory_for_terms_does_not_follow_the_batch():
     small, large = (pa.RecordBatch.from_arrays([pa.array(range(len(t))), t], ["doc_id", "text"]) for t in (batch(1), batch(4)))
     assert peak(lambda: [*retrieval._term_counts(iter([small]), ["word1"])]) > 0.6 * peak(lambda: [*retrieval._term_counts(iter([large]), ["word1"])])
